@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -41,13 +40,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or ``path``) and read it back.
 
     This cuts the lineage; the files survive the loss of any executor.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -225,7 +224,3 @@ def expand_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     at = np.repeat(np.cumsum(counts) - counts, counts)
     return np.repeat(starts, counts) + (np.arange(total, dtype=np.int64) - at)
 
-
-def hex_sha256(column) -> F.Column:  # noqa: F821
-    """Lower-case hexadecimal SHA-256 of a string or binary column."""
-    return F.sha2(column, 256)
