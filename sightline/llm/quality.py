@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import fresh_name, materialize
+from sightline.llm.common import materialize
 
 #: Metric -> slack of its fence, in the metric's unit (per mille).
-FENCES = {"symbols": 60, "dup_lines": 150, "repeats": 150, "capitals": 150, "marks": 60}
+FENCES = {"symbols": 60, "dup_lines": 500, "repeats": 400, "capitals": 150, "marks": 60}
 #: Multiple of the distance between the quartiles.
 REACH = 3
 #: Groups with fewer documents use their language's sketch, and that the corpus's.
@@ -123,6 +123,29 @@ def thresholds(sketch: DataFrame, *, reach: int = REACH, min_group: int = MIN_GR
     return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *[pick(m).alias(f"f_{m}") for m in FENCES])
 
 
+#: Most groups whose fences are broadcast; above, the join is a shuffle.
+MAX_BROADCAST_GROUPS = 50_000
+ADDED = ["word_chars", "n_symbols", "n_capitals", "n_marks", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, reach: int, min_group: int, max_broadcast_groups: int, with_text: bool) -> tuple[DataFrame, dict[str, str]]:
+    """All columns under private names plus the measures and verdict; column -> private name."""
+    mine = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items() if with_text or c != text_col], F.col(text_col).alias("text"))
+    measured = measure(slim, "text")
+    measured = measured.select(*measured.columns, *[c.alias(f"m_{m}") for m, c in _metrics().items()])
+    measured = materialize(measured, "quality")
+    limits = materialize(thresholds(sketches(measured, mine[lang_col], mine[source_col]), reach=reach, min_group=min_group), "quality-fences")
+    if limits.count() <= max_broadcast_groups:
+        limits = F.broadcast(limits)
+    joined = measured.join(limits, F.col(mine[lang_col]).eqNullSafe(F.col("lang")) & F.col(mine[source_col]).eqNullSafe(F.col("source")), "left")
+    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    beyond = F.lit(False)
+    for m in FENCES:
+        beyond = beyond | (F.col(f"m_{m}") > F.col(f"f_{m}"))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~beyond), mine
+
+
 def judge_quality(
     docs: DataFrame,
     *,
@@ -131,6 +154,7 @@ def judge_quality(
     source_col: str = "source",
     reach: int = REACH,
     min_group: int = MIN_GROUP,
+    max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
 ) -> DataFrame:
     """The rows of ``docs`` without the text, with their measures, ``base_failed`` and ``kept``.
 
@@ -140,29 +164,21 @@ def judge_quality(
     or source is a group of its own; repeated rows are judged each; columns of ``docs``
     that carry a name this operator adds are not returned; an empty table gives an empty result.
     """
-    added = ["word_chars", "n_symbols", "n_capitals", "n_marks", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    carried = [c for c in docs.columns if c != text_col and c.lower() not in added]
-    slim = docs.select(*carried, F.col(text_col))
-    measured = measure(slim, text_col)
-    measured = measured.select(*measured.columns, *[c.alias(f"m_{m}") for m, c in _metrics().items()])
-    measured = materialize(measured, "quality")
-    limits = thresholds(sketches(measured, lang_col, source_col), reach=reach, min_group=min_group)
-    limits = materialize(limits, "quality-fences")
-    lang, source = fresh_name(measured, "fence_lang"), fresh_name(measured, "fence_source")
-    limits = limits.withColumnsRenamed({"lang": lang, "source": source})
-    joined = measured.join(limits, F.col(lang_col).eqNullSafe(F.col(lang)) & F.col(source_col).eqNullSafe(F.col(source)), "left")
-    failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    beyond = F.lit(False)
-    for m in FENCES:
-        beyond = beyond | (F.col(f"m_{m}") > F.col(f"f_{m}"))
-    out = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~beyond)
-    return out.select(*carried, *added)
+    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, False)
+    carried = [F.col(n).alias(c) for c, n in mine.items() if c != text_col and c.lower() not in ADDED]
+    return judged.select(*carried, *ADDED)
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    row = fresh_name(docs, "quality_row")
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    judged = judge_quality(docs.withColumn(row, key), text_col=text_col, lang_col=lang_col, source_col=source_col)
-    good = judged.where("kept").select(row).distinct()
-    return docs.withColumn(row, key).join(good, row, "left_semi").drop(row)
+def keep_good(
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    reach: int = REACH,
+    min_group: int = MIN_GROUP,
+    max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns."""
+    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, True)
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in mine.items()])
