@@ -51,6 +51,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    from sightline.llm.pii import KINDS, find_pii, span_digest
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_digest(F.col("base")), 256).alias("base_sha256"), span_digest(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added")
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     from sightline.llm.token_counts import token_counts
@@ -73,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
