@@ -51,6 +51,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated byte strings of all documents removed."""
+    from sightline.llm.repeats import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     from sightline.llm.pii import KINDS, find_pii, span_digest
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
+    "op6_repeats": op6_repeats,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
