@@ -1,17 +1,69 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each one operator.
+
+quality rules -> near-duplicate removal -> benchmark decontamination -> personal data -> packing.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sightline.llm.common import materialize
+from sightline.llm.decontaminate import remove_contaminated
+from sightline.llm.near_duplicates import remove_near_duplicates
+from sightline.llm.packing import pack
+from sightline.llm.pii import redact_pii
+from sightline.llm.quality import keep_good
+from sightline.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return remove_near_duplicates(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; ``n_chars``, if there, counts the new text."""
+    out = redact_pii(docs)
+    if "n_chars" in out.columns:
+        kind = out.schema["n_chars"].dataType
+        length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
+        out = out.withColumn("n_chars", length)
+    return out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    packed = pack(docs, tokenizer_path(), length=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+#: SQL cannot express sketches, tokenization and packing; tests compare the stages with brute force.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over ``documents``."""
-    from sightline.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

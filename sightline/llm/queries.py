@@ -12,7 +12,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,6 +37,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of all documents: low quality first, then toxic."""
+    from sightline.llm.toxicity import score_toxicity
+
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return scored.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), F.col("is_toxic").alias("toxic"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates among all documents."""
     from sightline.llm.near_duplicates import near_duplicates
@@ -47,7 +57,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
     from sightline.llm.packing import pack
 
-    packed = pack(_table(spark, sf_dir, "documents"), _tokenizer(), length=2048, end_id=1)
+    packed = pack(_table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -60,6 +70,13 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered role and canonical form of every turn of all conversations."""
+    from sightline.llm.chat import format_chats
+
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     from sightline.llm.pii import KINDS, find_pii, span_digest
@@ -76,7 +93,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     from sightline.llm.token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer()).withColumn("over_limit", F.col("n_tokens") > 1024)
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +102,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.llm.token_files import read_token_files, write_token_files
 
     folder = scratch_path(spark, "token-files")
-    write_token_files(_table(spark, sf_dir, "documents"), folder, _tokenizer(), end_id=0)
+    write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=0)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op6_repeats": op6_repeats,
+    "op7_chat": op7_chat,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
