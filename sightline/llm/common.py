@@ -160,10 +160,10 @@ class Words:
     word; ``first``: n + 1 offsets into these arrays, by text.
     """
 
-    __slots__ = ("ends", "first", "hashes", "starts")
+    __slots__ = ("chars", "ends", "first", "hashes", "starts")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
-        low = LOWER[data]
+        low = self.chars = LOWER[data]
         word = ~separators[low]
         n = len(low)
         edge = np.zeros(n + 1, bool)
@@ -193,6 +193,18 @@ class Words:
             self.hashes = np.zeros(0, U64)
 
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are longer than ``size`` bytes, and the hashes of their first ``size`` bytes."""
+        which = np.flatnonzero(self.ends - self.starts > size)
+        at = self.starts[which]
+        out = np.full(len(which), U64(size))
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                out *= U64(_MULT)
+                out += _WORD_TABLE[self.chars[at + j]]
+        return which, mix64(out)
+
+
 def gram_hashes(hashes: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of each run of ``size`` consecutive values (runs over row ends included)."""
     n = len(hashes) - size + 1

@@ -21,9 +21,11 @@ from sightline.llm.common import NON_ALNUM, Words, materialize, text_slices, utf
 #: Bounds of the fit: labelled rows, features chosen for each category, folds.
 SAMPLE, FEATURES, FOLDS = 8_000, 256, 5
 #: Fewest labelled documents that must hold a word for it to become a feature.
-LEAST_DOCS = 5
+LEAST_DOCS = 4
 #: Least chi-squared statistic of a feature: far beyond what chance gives the best of all words.
-LEAST_CHI = 28.0
+LEAST_CHI = 24.0
+#: Besides whole words, their first bytes are features: inflected forms share them.
+PREFIXES = (4, 5, 6)
 MAX_BROADCAST_LABELS = 500_000
 
 
@@ -52,6 +54,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, *, penalty: float = 1e-3, rounds:
     return w
 
 
+def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every word and word prefix."""
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    texts, hashes = [text], [words.hashes]
+    for size in PREFIXES:
+        which, found = words.prefixes(size)
+        texts.append(text[which])
+        hashes.append(found)
+    return np.concatenate(texts), np.concatenate(hashes)
+
+
 class Chain:
     """Fitted chain: feature hashes (sorted), per category weights and threshold."""
 
@@ -78,14 +91,13 @@ class Chain:
 
     def presence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Text number and feature number of each feature present, each pair once."""
-        counts = np.diff(words.first)
         if not len(self.features) or not len(words.hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.searchsorted(self.features, words.hashes)
+        text, hashes = tokens(words)
+        at = np.searchsorted(self.features, hashes)
         at[at == len(self.features)] = 0
-        met = np.flatnonzero(self.features[at] == words.hashes)
-        text = np.repeat(np.arange(len(counts)), counts)[met]
-        pairs = np.unique(text * len(self.features) + at[met])
+        met = np.flatnonzero(self.features[at] == hashes)
+        pairs = np.unique(text[met] * len(self.features) + at[met])
         return pairs // len(self.features), pairs % len(self.features)
 
     def predict(self, words: Words) -> np.ndarray:
@@ -121,7 +133,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories: list[str], most: i
 
 
 def _choose_features(labelled: DataFrame, n: int, features: int) -> np.ndarray:
-    """Hashes of the words with the largest chi-squared statistics for any category."""
+    """Hashes of the words and prefixes with the largest chi-squared statistics for any category."""
     marks = [f"y{j}" for j in range(n)]
 
     def count(batches):
@@ -141,10 +153,9 @@ def _choose_features(labelled: DataFrame, n: int, features: int) -> np.ndarray:
         size = 0
         for batch in batches:
             for part in text_slices(batch, 0, 2 << 20):
-                words = Words(*utf8_buffers(part.column(0)), NON_ALNUM)
-                text = np.repeat(np.arange(part.num_rows), np.diff(words.first))
-                order = np.lexsort((words.hashes, text))
-                h, t = words.hashes[order], text[order]
+                text, hashes = tokens(Words(*utf8_buffers(part.column(0)), NON_ALNUM))
+                order = np.lexsort((hashes, text))
+                h, t = hashes[order], text[order]
                 new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
                 h, t = h[new], t[new]
                 if not len(h):
