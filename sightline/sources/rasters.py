@@ -45,8 +45,8 @@ def pixels_from_tiles(tiles: DataFrame, size: int, window: tuple[int, int, int,
 
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """Pixels (``row, col, value``) of Arc/Info ASCII grids; one row of text is one row of pixels."""
-    lines = spark.read.option("wholetext", True).text(path)
-    text = F.split(F.trim("value"), "\n")
+    lines = spark.read.text(path, wholetext=True)
+    text = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     header = F.map_from_entries(F.transform(F.slice(text, 1, 6), lambda s: F.struct(F.lower(F.split(s, r"\s+")[0]), F.split(s, r"\s+")[1])))
     body = lines.select(header.alias("h"), F.posexplode(F.slice(text, 7, 2_000_000_000)).alias("row", "line"))
     cells = body.select("h", F.col("row").cast("long"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v"))
