@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
         .config("spark.default.parallelism", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
