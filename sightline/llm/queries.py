@@ -119,4 +119,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM, _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+
+def _words_sql(table: str, key: str, pattern: str) -> str:
+    return f"SELECT {key} AS id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'),'{pattern}') AS w FROM {table}"
+
+
+_OP1_SQL = f"""WITH d AS ({_words_sql('documents', 'doc_id', _ALNUM)}), b AS ({_words_sql('benchmark', 'item_id', _ALNUM)}),
+bn AS (SELECT id, w, least(10,len(w)) AS n FROM b WHERE len(w)>0),
+win AS (SELECT DISTINCT id, n, array_to_string(w[i:i+n-1],' ') AS g FROM (SELECT *, unnest(range(1,len(w)-n+2)) AS i FROM bn)),
+dwin AS (SELECT id, i, n, array_to_string(w[i:i+n-1],' ') AS g FROM (SELECT d.id, d.w, s.n, unnest(range(1,len(d.w)-s.n+2)) AS i FROM d, (SELECT DISTINCT n FROM win) s WHERE len(d.w)>=s.n)),
+hit AS (SELECT dwin.id, dwin.i, dwin.n, win.id AS item FROM dwin JOIN win ON dwin.n=win.n AND dwin.g=win.g),
+words AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i,i+n)) AS p FROM hit) GROUP BY id),
+items AS (SELECT id, count(DISTINCT item) AS n, string_agg(DISTINCT item::VARCHAR, ',' ORDER BY item::VARCHAR) AS names FROM hit GROUP BY id)
+SELECT d.id AS doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n,0)::BIGINT AS n_hit, coalesce(items.n,0)::BIGINT AS n_items, sha256(coalesce(items.names,'')) AS items_sha256, coalesce(words.n,0)>0 AS contaminated
+FROM d LEFT JOIN words USING (id) LEFT JOIN items USING (id)"""
+
+
+def _op2_sql() -> str:
+    from sightline.llm.quality import CAPITALS, FENCES, MARKS, MIN_GROUP, REACH, SYMBOLS
+
+    count = lambda c: f"(length(text)-length(translate(text,'{c}','')))::BIGINT"
+    shares = {"symbols": "1000*n_symbols//greatest(word_chars,1)", "dup_lines": "1000*n_dup_lines//greatest(n_lines,1)", "repeats": "1000*n_repeat_words//greatest(n_words,1)", "capitals": "1000*n_capitals//greatest(word_chars,1)", "marks": "1000*n_marks//greatest(word_chars,1)"}
+    names, values = ",".join(f"'{m}'" for m in FENCES), ",".join(shares[m] for m in FENCES)
+
+    def fence(keys: str) -> str:
+        by = f"{keys}, metric" if keys else "metric"
+        return f"""(SELECT {by}, max(docs) AS docs, min(bucket) FILTER (upto*4>=docs) AS lo, min(bucket) FILTER (upto*4>=docs*3) AS hi FROM (
+        SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by})"""
+
+    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in FENCES.items()) + " END"
+    limit = f"CASE WHEN o.docs>={MIN_GROUP} THEN o.hi+{REACH}*(o.hi-o.lo) WHEN l.docs>={MIN_GROUP} THEN l.hi+{REACH}*(l.hi-l.lo) ELSE a.hi+{REACH}*(a.hi-a.lo) END + {slack}"
+    return rf"""WITH t AS (SELECT doc_id, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text,'{_WORD}') AS ws, list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, ws[i]||' '||ws[i+1]||' '||ws[i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1,len(ws)-1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i,i+1,i+2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c>1) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws,''))::BIGINT AS word_chars, {count(SYMBOLS)} AS n_symbols, {count(CAPITALS)} AS n_capitals, {count(MARKS)} AS n_marks,
+  len(ls)::BIGINT AS n_lines, (len(ls)-len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n,0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+v AS (SELECT doc_id, lang, source, unnest([{names}]) AS metric, unnest([{values}]) AS v FROM m),
+sk AS (SELECT lang, source, metric, v-v%(1<<greatest(length(bin(v))-5,0)) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+bad AS (SELECT doc_id, bool_or(v>{limit}) AS bad FROM v JOIN {fence('lang, source')} o USING (lang, source, metric) JOIN {fence('lang')} l USING (lang, metric) JOIN {fence('')} a USING (metric) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed, NOT (n_words<50 OR 100*n_repeat_words>50*n_words) AND NOT bad AS kept FROM m JOIN bad USING (doc_id)"""
+
+
+_OP4_SQL = f"""WITH RECURSIVE d AS ({_words_sql('documents', 'doc_id', _WORD)}),
+s AS (SELECT DISTINCT id, g FROM (SELECT id, unnest(CASE WHEN len(w)=0 THEN [] WHEN len(w)<5 THEN [array_to_string(w,' ')] ELSE list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' ')) END) AS g FROM d)),
+z AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+e AS (SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g=y.g AND x.id<>y.id GROUP BY ALL) JOIN z p ON p.id=a JOIN z q ON q.id=b WHERE 100*c>=75*(p.n+q.n-c)),
+r AS (SELECT id, id AS c FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.c=e.a)
+SELECT d.id AS doc_id, coalesce(z.n,0)::BIGINT AS n_shingles, k.c AS component_id, k.c=d.id AS kept FROM d JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) k USING (id) LEFT JOIN z USING (id)"""
+
+#: The other operators' results (tokenizer ids, models, byte spans) are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op2_quality": _op2_sql(), "op4_near_duplicates": _OP4_SQL}
