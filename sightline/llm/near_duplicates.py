@@ -6,10 +6,11 @@
   shingles, on an exponential scale and truncated to 16 bits.  Registers of unions are
   maxima of registers (:func:`merge_registers`).
 * Bands of registers deal classes into buckets.  Every class of a bucket is compared with
-  the bucket's least one; after linking, buckets whose classes are still in several
-  components compare the rest across components.  So no pair of a bucket is left out
-  that could join two components, and a bucket of many copies costs as many comparisons
-  as it has members.
+  the bucket's least one, then those outside its largest component with one class inside.
+  Classes that are still outside are compared with all classes of other components of
+  their buckets, in blocks of bounded size that yield links only.  So no pair of a bucket
+  is left out that could join two components, and no pairs are listed for a bucket of
+  many copies.
 * A candidate pair's similarity is estimated jointly from both sketches by maximum
   likelihood; pairs for which the threshold is out of reach (a likelihood ratio below
   e**-24) are dropped, all others are confirmed on their full sets.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import SPACES, U64, Words, gram_hashes, materialize, mix64, text_slices, utf8_buffers
+from sightline.llm.common import SPACES, U64, Words, expand_ranges, gram_hashes, materialize, mix64, text_slices, utf8_buffers
 from sightline.llm.graph import connected_components
 
 ROWS, BANDS = 5, 48
@@ -31,6 +32,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Most rows of a table of keys (16 bytes each) that is broadcast.
 MAX_BROADCAST_KEYS = 400_000
+#: Shingles on each side of a block of :func:`_across`, about.
+BLOCK_SHINGLES = 300_000
 _SEED = np.random.default_rng(20)
 _FACTORS = (_SEED.integers(0, 2**31, REGISTERS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = _SEED.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -193,6 +196,84 @@ def _confirm(pairs: DataFrame, sets: DataFrame, size: int, percent: int, most: i
     return joined.select("src", "dst", "text_a", "text_b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "src long, dst long")
 
 
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """``band, node, component, major``: members of the buckets that hold several components, and each one's largest."""
+    named = members.join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    named = materialize(named, "named")
+    counted = named.groupBy("band", "component").agg(F.count("*").alias("n"))
+    major = counted.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", -F.col("component"))).alias("m")).where("parts > 1")
+    return materialize(named.join(major.select("band", (-F.col("m.col2")).alias("major")), "band"), "mixed")
+
+
+def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """Pairs (``src, dst``) that link classes outside their bucket's largest component to other components.
+
+    Blocks of bounded size count common shingles exactly (by 32 bits of their hashes, so
+    never too few); of the links from a class to a component the two closest are returned.
+    """
+    needed = materialize(mixed.select("node").distinct(), "needed")
+
+    def shingles(batches):
+        for batch in batches:
+            for part in text_slices(batch, 1, 2 << 20):
+                values, offsets = shingle_sets(part.column(1), size)
+                low = np.ascontiguousarray(values.astype(np.uint32))
+                held = [low[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(held, pa.binary())], ["node", "n", "held"])
+
+    held = _restrict(sets, needed, "node", most).select("node", "text").mapInArrow(shingles, "node long, n long, held binary")
+    held = materialize(held, "shingles")
+    sized = mixed.join(held.select("node", "n"), "node").withColumn("rest", F.col("component") != F.col("major"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
+    totals = sized.groupBy("band").agg(parts(F.sum("n")).alias("parts"), parts(F.sum(F.when(F.col("rest"), F.col("n")))).alias("rest_parts"))
+    placed = sized.join(totals, "band")
+    own, rest_own = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "rest_parts").cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = placed.select("band", own.alias("part"), every("rest_parts").alias("rest_part"), "node", "component", F.lit(False).alias("rest"))
+    rests = placed.where("rest").select("band", every("parts").alias("part"), rest_own.alias("rest_part"), "node", "component", F.lit(True).alias("rest"))
+    rows = members.union(rests).join(held, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rest = table.column("rest").to_numpy(zero_copy_only=False)
+        node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
+        sets = [np.frombuffer(h, np.uint32) for h in table.column("held").to_pylist()]
+        inside, outside = np.flatnonzero(~rest), np.flatnonzero(rest)
+        src, dst = [], []
+        if len(inside) and len(outside):
+            # postings of the members, by shingle
+            values = np.concatenate([sets[i] for i in inside])
+            owner = np.repeat(np.arange(len(inside)), [len(sets[i]) for i in inside])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for i in outside:
+                low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+                both = np.bincount(owner[expand_ranges(low, high - low)], minlength=len(inside))
+                near = np.flatnonzero((100 * both >= percent * (n[inside] + n[i] - both)) & (component[inside] != component[i]))
+                if len(near):
+                    near = near[np.lexsort((-both[near] / (n[inside][near] + n[i] - both[near]), component[inside][near]))]
+                    first = np.flatnonzero(np.append(True, np.diff(component[inside][near]) != 0))
+                    rank = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
+                    for m in node[inside][near[rank < 2]]:
+                        src.append(min(node[i], m))
+                        dst.append(max(node[i], m))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return rows.groupBy("band", "part", "rest_part").applyInArrow(compare, "src long, dst long").distinct()
+
+
+def _link_across(mixed: DataFrame, links: DataFrame, tested: DataFrame, sets: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """Components after the buckets of ``mixed`` were compared across their components."""
+    inside = F.when(F.col("component") == F.col("major"), F.struct(F.xxhash64("node").alias("h"), "node"))
+    heads = mixed.groupBy("band").agg(F.min(inside)["node"].alias("leader"))
+    pairs = mixed.where("component <> major").join(heads, "band").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst")).distinct()
+    pairs = materialize(pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
+    links = materialize(links.union(_confirm(pairs, sets, size, percent, most)), "links")
+    second = materialize(connected_components(links), "components")
+    mixed = _mixed(mixed.select("band", "node"), second)
+    more = materialize(_confirm(materialize(_across(mixed, sets, size, percent, most), "pairs"), sets, size, percent, most), "links")
+    return second if more.isEmpty() else materialize(connected_components(links.union(more)), "components")
+
+
 def _group(docs: DataFrame, size: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Signed rows (private columns plus ``row, node``) and ``node, component`` of linked classes."""
     signed = materialize(sign(docs, "text", size).withColumn("row", F.monotonically_increasing_id()), "signed")
@@ -206,21 +287,11 @@ def _group(docs: DataFrame, size: int, percent: int, most: int) -> tuple[DataFra
     pairs = member.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
     links = materialize(_confirm(materialize(pairs, "pairs"), sets, size, percent, most), "links")
     first = materialize(connected_components(links), "components")
-    # buckets of three or more whose members are in several components: compare across components
-    large = member.where("members > 2").join(first, "node", "left")
-    large = large.select("band", "node", "leader", F.coalesce("component", "node").alias("component"))
-    mixed = large.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two")
-    large = materialize(large.join(mixed.select("band", "one"), "band"), "mixed")
-    rest = large.where("component <> one").select("band", F.col("node").alias("src"), F.col("component").alias("from"))
-    other = large.select("band", F.col("node").alias("dst"), F.col("component").alias("to"))
-    across = rest.join(other, "band").where("`from` <> `to`")
-    across = across.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    across = across.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
-    more = materialize(_confirm(materialize(across, "pairs"), sets, size, percent, most), "links")
-    if more.isEmpty():
-        components = first
-    else:
-        components = materialize(connected_components(links.union(more)), "components")
+    # buckets of three or more whose classes are in several components
+    components = first
+    mixed = _mixed(member.where("members > 2").select("band", "node"), first)
+    if not mixed.isEmpty():
+        components = _link_across(mixed, links, pairs, sets, size, percent, most)
     labelled = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     labelled = labelled.join(heads, "component").select(*key, "component", "component_id")
