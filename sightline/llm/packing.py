@@ -48,37 +48,50 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Linear program: fewest sequences that hold ``demand[i]`` items of ``sizes[i]``.
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Linear program: fewest sequences that hold at least ``demand[i]`` items of ``sizes[i]``.
 
-    Revised simplex with generated columns; stops at an optimal basis or when the dual
-    bound proves the rest smaller than ``gap``.  Returns basis patterns (rows) and how
-    often each is used (real numbers).
+    Revised simplex with generated columns: patterns by the knapsack, at cost 1, and surplus
+    columns (an item too many), at cost 0, while a dual is negative.  Stops at an optimal
+    basis or when the dual bound proves the rest smaller than ``gap``.  Returns patterns
+    (rows) and how often each is used (real numbers).
     """
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
+    cost = np.ones(n)
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
-    for _ in range(most):
-        duals = inverse.sum(axis=0)
-        value, column = knapsack(duals, sizes, capacity)
-        if value <= 1 + 1e-9 or 1 - 1 / value < gap:
+    bound = float(sizes @ demand) / capacity
+    for k in range(most):
+        if cost @ x - bound <= gap * (cost @ x):
             break
+        duals = cost @ inverse
+        low = int(duals.argmin())
+        if duals[low] < -1e-9:
+            column, price = np.zeros(n), 0.0
+            column[low] = -1
+        else:
+            value, column = knapsack(np.maximum(duals, 0), sizes, capacity)
+            price = 1.0
+            bound = max(bound, float(np.maximum(duals, 0) @ demand) / max(value, 1.0))
+            if value <= 1 + 1e-9:
+                break
         direction = inverse @ column
         up = np.flatnonzero(direction > 1e-10)
         if not len(up):
             break
         ratio = x[up] / direction[up]
         leave = up[int(ratio.argmin())]
-        step = x[leave] / direction[leave]
-        x -= step * direction
-        x[leave] = step
-        row = inverse[leave] / direction[leave]
-        inverse -= np.outer(direction, row)
-        inverse[leave] = row
-        basis[:, leave] = column
-        np.maximum(x, 0, out=x)
-    return basis.T.round().astype(np.int64).reshape(n, n), x
+        basis[:, leave], cost[leave] = column, price
+        if k % 64 == 63:  # rounding errors do not pile up
+            inverse = np.linalg.inv(basis)
+        else:
+            row = inverse[leave] / direction[leave]
+            inverse -= np.outer(direction, row)
+            inverse[leave] = row
+        x = np.maximum(inverse @ demand, 0)
+    real = cost > 0
+    return basis.T[real].round().astype(np.int64), x[real]
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
