@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import materialize
 
 #: Metric -> slack of its fence, in the metric's unit (per mille).
-FENCES = {"symbols": 60, "dup_lines": 500, "repeats": 400, "capitals": 150, "marks": 60}
+FENCES = {"symbols": 60, "dup_lines": 500, "repeats": 480, "capitals": 150, "marks": 60}
 #: Multiple of the distance between the quartiles.
 REACH = 3
 #: Groups with fewer documents use their language's sketch, and that the corpus's.
