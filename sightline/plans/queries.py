@@ -810,3 +810,14 @@ def streaming_kernel(spark, d):
     name = "stream_" + _scratch(spark, "k").rsplit("-", 1)[1]
     run_to_memory(windowed_kernel(s, time="ts", late="3650 days", window="1 day"), name)
     return spark.table(name).drop("window")
+
+
+@query(
+    "SELECT count(*) AS row_count, count(DISTINCT source_h3) AS source_h3_count, count(DISTINCT target_h3) AS target_h3_count, count(*) FILTER (weight_static_viewability IS NULL) AS null_weights FROM pairs WHERE source_type='land' AND distance_km<=30",
+    with_=D.PAIRS_SQL,
+)
+def component_build(spark, d):
+    from sightline.api import build
+
+    got = build(spark, D.samples(spark, d), _scratch(spark, "build"), ["validate"])
+    return got["validate"].select("row_count", "source_h3_count", "target_h3_count", "null_weights")
