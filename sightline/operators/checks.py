@@ -40,6 +40,22 @@ def assert_covered(universe: DataFrame, factor: DataFrame, keys: list[str], name
     _raise_if_any(find_uncovered(universe, factor, keys), f"{name} does not match the pair universe")
 
 
+def find_unmatched(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Keys that do not occur exactly once in every frame, with their count in each: one aggregation for all frames."""
+    tagged = None
+    for name, frame in frames.items():
+        one = frame.select(*keys, F.lit(name).alias("frame"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    counts = [F.count_if(F.col("frame") == name).alias(f"in_{name}") for name in frames]
+    wrong = [F.col(f"in_{name}") != 1 for name in frames]
+    return tagged.groupBy(*keys).agg(*counts).where(reduce(lambda a, b: a | b, wrong))
+
+
+def assert_one_to_one(frames: dict[str, DataFrame], keys: list[str]) -> None:
+    """Every frame has the same keys, each once."""
+    _raise_if_any(find_unmatched(frames, keys), "pair factors do not match one to one")
+
+
 def out_of_unit(column: str) -> Column:
     """Whether a weight is null, NaN, infinite or outside [0, 1]."""
     c = F.col(column)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
-from sightline.operators.checks import assert_covered, assert_unique
+from sightline.operators.checks import assert_one_to_one
 
 PAIR = ["source_h3", "target_h3"]
 
@@ -24,10 +24,7 @@ def densify(lookup: DataFrame, sparse: DataFrame, weight: str, completed: DataFr
 def compose_static(lookup: DataFrame, terrain: DataFrame, vegetation: DataFrame, *, check: bool = True) -> DataFrame:
     """Static weight of every pair: terrain times vegetation; fails on duplicate or missing factor rows."""
     if check:
-        for name, frame in (("lookup", lookup), ("terrain", terrain), ("vegetation", vegetation)):
-            assert_unique(frame, PAIR, name)
-        assert_covered(lookup, terrain, PAIR, "terrain")
-        assert_covered(lookup, vegetation, PAIR, "vegetation")
+        assert_one_to_one({"lookup": lookup, "terrain": terrain, "vegetation": vegetation}, PAIR)
     joined = lookup.join(terrain.select(*PAIR, "weight_terrain"), PAIR, "left").join(vegetation.select(*PAIR, "weight_vegetation"), PAIR, "left")
     return joined.withColumn("weight_static_viewability", S.static_weight(F.col("weight_terrain"), F.col("weight_vegetation")))
 
