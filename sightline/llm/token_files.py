@@ -134,8 +134,14 @@ class ShardReader:
 
 
 def _sample(docs: DataFrame, tokenizer_path: str) -> list[bytes]:
-    """Serialized ids of a bounded sample: the documents with the smallest key hashes."""
-    picked = docs.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(SAMPLE_DOCS)
+    """Serialized ids of a bounded sample: the documents with the smallest key hashes.
+
+    A cut on the hash leaves about four times as many rows as needed before the rest is ranked.
+    """
+    total = max(1, docs.count())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
+    near = docs.where(place < int(2**31 * min(1.0, 4 * SAMPLE_DOCS / total)))
+    picked = near.orderBy(place, F.col("doc_id")).limit(SAMPLE_DOCS)
 
     def encode(batches):
         bpe = load(tokenizer_path)
