@@ -226,7 +226,9 @@ def find_repeats(docs: DataFrame, length: int, gram: int = GRAM, max_contexts: i
     found = materialize(_occurrences(docs, length, gram), "contexts")
     for cell in (*CELLS, None):
         keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("one"), F.max("context").alias("two")).where("n > 1")
-        met = materialize(found.join(keys.select("key", (F.col("one") == F.col("two")).alias("equal")), "key"), "met")
+        # written first: a join of two plain exchanges can split a hot key's partition, one above an aggregation cannot
+        keys = materialize(keys.select("key", (F.col("one") == F.col("two")).alias("equal")), "keys")
+        met = materialize(found.join(keys, "key"), "met")
         whole = (F.col("start") + F.col("windows") + (length - 1)).alias("stop")
         spans.append(met.where("equal").select("row", "start", whole))
         mixed = met.where("not equal")
