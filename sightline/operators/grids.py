@@ -6,12 +6,13 @@ are strings, disks are exploded sequences.  Any grid with the same methods fits
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.scalars import haversine_km
+from sightline.functions.scalars import HAVERSINE_RADIUS_KM, haversine_km
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,26 @@ class SquareGrid:
         around = lambda i: F.sequence(self._part(cell, i) - rings, self._part(cell, i) + rings)
         return F.flatten(F.transform(around(0), lambda r: F.transform(around(1), lambda c: F.concat_ws("_", r.cast("string"), c.cast("string")))))
 
+    def reach(self, cell: Column, max_km: float) -> Column:
+        """Array of all cells (longitudes of -180 to 180) with a point within ``max_km`` of a point of ``cell``.
+
+        Rows follow the latitude, with one more on each side for cells that stand over a pole; columns
+        follow the width of a degree at the cell's outermost latitude, across 180 degrees, and are all
+        columns where the radius comes near a pole.
+        """
+        angle = math.degrees(max_km / HAVERSINE_RADIUS_KM) + 1e-7
+        r, c = (self._part(cell, i) for i in (0, 1))
+        at = lambda degrees: F.floor(degrees / F.lit(self.edge))
+        south, west = r * F.lit(self.edge), c * F.lit(self.edge)
+        outer = F.greatest(F.abs(south), F.abs(south + F.lit(self.edge)))
+        first, last = math.floor(-180 / self.edge), math.floor(180 / self.edge)
+        span = F.degrees(F.asin(F.lit(math.sin(math.radians(min(angle, 90.0)))) / F.cos(F.radians(outer)))) + F.lit(1e-7)
+        around = [F.sequence(at(west - span + F.lit(turn)), at(west + F.lit(self.edge) + span + F.lit(turn))) for turn in (-360.0, 0.0, 360.0)]
+        wrapped = F.array_distinct(F.filter(F.concat(*around), lambda x: x.between(first, last)))
+        columns = F.when(outer + F.lit(angle) < F.lit(90.0 - self.edge), wrapped).otherwise(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
+        rows = F.sequence(at(south - F.lit(angle)) - 1, at(south + F.lit(self.edge + angle)) + 1)
+        return F.flatten(F.transform(rows, lambda i: F.transform(columns, lambda j: F.concat_ws("_", i.cast("string"), j.cast("string")))))
+
     def boundary(self, cell: Column) -> Column:
         """Corner coordinates (lat, lon) of a cell, as an array of structs."""
         r, c = (self._part(cell, i) for i in (0, 1))
@@ -45,13 +66,15 @@ class SquareGrid:
         return F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
 
 
-def pair_lookup(sources: DataFrame, targets: DataFrame, grid: SquareGrid, rings: int, max_km: float, *, self_pairs: bool = False) -> DataFrame:
+def pair_lookup(sources: DataFrame, targets: DataFrame, grid: SquareGrid, rings: int | None, max_km: float, *, self_pairs: bool = False) -> DataFrame:
     """Pairs of sources and targets (``cell`` ids) within ``max_km`` of each other, through disks.
 
     Each source's disk is exploded and met with the targets by equality, so no pair outside the
-    disks is ever formed; then the centre distance decides.
+    disks is ever formed; then the centre distance decides.  Without ``rings`` the disk is all that
+    ``max_km`` can reach; a number of rings leaves out pairs beyond them, whatever their distance.
     """
-    near = sources.select(F.col("cell").alias("source_h3"), F.explode(grid.disk(F.col("cell"), rings)).alias("target_h3"))
+    disk = grid.reach(F.col("cell"), max_km) if rings is None else grid.disk(F.col("cell"), rings)
+    near = sources.select(F.col("cell").alias("source_h3"), F.explode(disk).alias("target_h3"))
     near = near.join(targets.select(F.col("cell").alias("target_h3")), "target_h3", "left_semi")
     (a, b), (c, d) = grid.center(F.col("source_h3")), grid.center(F.col("target_h3"))
     near = near.withColumn("distance_km", haversine_km(a, b, c, d)).where(F.col("distance_km") <= max_km)

@@ -687,6 +687,19 @@ def grid_lookup(spark, d):
     return grids.pair_lookup(cells("supplier"), cells("customer"), grid, 2, 900.0)
 
 
+_CELLS_SQL = ", ".join(f"{n} AS (SELECT DISTINCT floor(lat/5)::BIGINT AS i, floor(lon/5)::BIGINT AS j, floor(lat/5)::BIGINT||'_'||floor(lon/5)::BIGINT AS cell FROM {D.points_sql(t)})" for n, t in (("s", "supplier"), ("c", "customer")))
+_ARC = "2*6371.0088*asin(sqrt(least(pow(sin((radians({q})-radians({p}))/2),2)+cos(radians({p}))*cos(radians({q}))*pow(sin(radians({along})/2),2),1)))"
+_CENTRES = _ARC.format(p="(s.i*5+2.5)", q="(c.i*5+2.5)", along="((c.j-s.j)*5)")
+
+
+@query(f"SELECT s.cell AS source_h3, c.cell AS target_h3, {_CENTRES} AS distance_km FROM s, c WHERE s.cell<>c.cell AND {_CENTRES}<=900", with_=_CELLS_SQL, doubles="distance_km")
+def grid_pairs(spark, d):
+    """As ``grid_lookup`` without its bound of two rings: distance alone decides."""
+    grid = grids.SquareGrid(5.0)
+    cells = lambda t: D.points(spark, d, t).select(grid.cell(F.col("lat"), F.col("lon")).alias("cell")).distinct()
+    return grids.pair_lookup(cells("supplier"), cells("customer"), grid, None, 900.0)
+
+
 @query(
     f"""SELECT source_h3, target_h3, s.lat AS source_lat, s.lon AS source_lon, t.lat AS target_lat, t.lon AS target_lon FROM pairs LEFT JOIN {D.points_sql('supplier')} s ON source_h3='S'||s.id LEFT JOIN {D.points_sql('supplier')} t ON target_h3='S'||t.id""",
     with_=D.PAIRS_SQL, doubles="source_lat source_lon target_lat target_lon",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
-from sightline.operators import checks, compose, kernels, rays, sampling, summaries
+from sightline.operators import checks, compose, grids, kernels, rays, sampling, summaries
 from sightline.operators.checks import IntegrityError
 from sightline.plans import stages
 
@@ -232,3 +232,21 @@ def test_vector_sources(spark, tmp_path):
     assert tuple(shapes.select("name", inside, outside).first()) == ("a", True, False)
     spark.createDataFrame([(0.0, 0.0, 1.0, 1.0, -999.0), (9.0, 9.0, 10.0, 10.0, 5.0)], "xmin double, ymin double, xmax double, ymax double, height double").write.parquet(f"{tmp_path}/b")
     assert [r["height"] for r in read_buildings(spark, f"{tmp_path}/b", (0, 0, 2, 2)).collect()] == [None]
+
+
+@pytest.mark.parametrize(("edge", "max_km"), [(5.0, 900.0), (7.0, 900.0), (20.0, 5_000.0)])
+def test_pair_lookup_by_distance_alone(spark, edge, max_km):
+    """All pairs within the radius: at high latitudes, over the poles and across 180 degrees."""
+    grid = grids.SquareGrid(edge)
+    rows, columns = sorted({math.floor(y / edge) for y in np.linspace(-90, 90, 61)}), sorted({math.floor(x / edge) for x in np.linspace(-180, 180, 241)})
+    every = [(i, j) for i in rows for j in columns]
+    some = every[:: max(1, len(every) // 60)]
+    table = lambda at: spark.createDataFrame([(f"{i}_{j}",) for i, j in at], "cell string")
+    got = {(r["source_h3"], r["target_h3"]) for r in grids.pair_lookup(table(some), table(every), grid, None, max_km).collect()}
+    y, x = (np.radians((np.array(every)[:, k] + 0.5) * edge) for k in (0, 1))
+    expected = set()
+    for i, j in some:
+        p, q = np.radians((i + 0.5) * edge), np.radians((j + 0.5) * edge)
+        km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(np.sin((y - p) / 2) ** 2 + np.cos(p) * np.cos(y) * np.sin((x - q) / 2) ** 2, 0, 1)))
+        expected |= {(f"{i}_{j}", f"{k}_{m}") for (k, m), d in zip(every, km, strict=True) if d <= max_km and (k, m) != (i, j)}
+    assert got == expected
