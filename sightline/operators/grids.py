@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions.scalars import HAVERSINE_RADIUS_KM, haversine_km
 
+#: Slack of the distance between cells.
+SLACK_KM = 1e-9
+
 
 @dataclass(frozen=True)
 class SquareGrid:
@@ -59,6 +62,23 @@ class SquareGrid:
         rows = F.sequence(at(south - F.lit(angle)) - 1, at(south + F.lit(self.edge + angle)) + 1)
         return F.flatten(F.transform(rows, lambda i: F.transform(columns, lambda j: F.concat_ws("_", i.cast("string"), j.cast("string")))))
 
+    def gap_km(self, one: Column, other: Column) -> Column:
+        """Distance between the nearest points of two cells, 0 where they touch.
+
+        The nearest points lie on the meridians that face each other, one of them at the end of its side.
+        """
+        edge = F.lit(self.edge)
+        span = lambda cell: tuple(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), (self._part(cell, 0) + k) * edge)) for k in (0, 1))
+        turn = F.pmod((self._part(other, 1) - self._part(one, 1)) * edge, F.lit(360.0))
+        along = F.greatest(F.least(turn, F.lit(360.0) - turn) - edge, F.lit(0.0))
+        found = []
+        for ends, (low, high) in ((span(one), span(other)), (span(other), span(one))):
+            for end in ends:
+                foot = F.degrees(F.atan2(F.sin(F.radians(end)), F.cos(F.radians(end)) * F.cos(F.radians(along))))
+                found += [haversine_km(end, F.lit(0.0), near, along) for near in (low, F.greatest(low, F.least(high, foot)))]
+                found.append(haversine_km(end, F.lit(0.0), high, along))
+        return F.least(*found)
+
     def boundary(self, cell: Column) -> Column:
         """Corner coordinates (lat, lon) of a cell, as an array of structs."""
         r, c = (self._part(cell, i) for i in (0, 1))
@@ -66,18 +86,23 @@ class SquareGrid:
         return F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
 
 
-def pair_lookup(sources: DataFrame, targets: DataFrame, grid: SquareGrid, rings: int | None, max_km: float, *, self_pairs: bool = False) -> DataFrame:
+def pair_lookup(sources: DataFrame, targets: DataFrame, grid: SquareGrid, rings: int | None, max_km: float, *, self_pairs: bool = False, by_cells: bool = False) -> DataFrame:
     """Pairs of sources and targets (``cell`` ids) within ``max_km`` of each other, through disks.
 
     Each source's disk is exploded and met with the targets by equality, so no pair outside the
     disks is ever formed; then the centre distance decides.  Without ``rings`` the disk is all that
-    ``max_km`` can reach; a number of rings leaves out pairs beyond them, whatever their distance.
+    ``max_km`` can reach; a number of rings leaves out pairs beyond them, whatever their distance.  With ``by_cells`` a pair also stays
+    where its centres are farther apart but the cells themselves come within ``max_km`` (and ``SLACK_KM``).
     """
-    disk = grid.reach(F.col("cell"), max_km) if rings is None else grid.disk(F.col("cell"), rings)
+    disk = grid.reach(F.col("cell"), max_km + SLACK_KM) if rings is None else grid.disk(F.col("cell"), rings)
     near = sources.select(F.col("cell").alias("source_h3"), F.explode(disk).alias("target_h3"))
     near = near.join(targets.select(F.col("cell").alias("target_h3")), "target_h3", "left_semi")
     (a, b), (c, d) = grid.center(F.col("source_h3")), grid.center(F.col("target_h3"))
-    near = near.withColumn("distance_km", haversine_km(a, b, c, d)).where(F.col("distance_km") <= max_km)
+    near = near.withColumn("distance_km", haversine_km(a, b, c, d))
+    within = F.col("distance_km") <= max_km
+    if by_cells:
+        within = within | (grid.gap_km(F.col("source_h3"), F.col("target_h3")) <= max_km + SLACK_KM)
+    near = near.where(within)
     if not self_pairs:
         near = near.where("source_h3 <> target_h3")
     return near.select("source_h3", "target_h3", "distance_km")

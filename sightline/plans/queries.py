@@ -700,6 +700,26 @@ def grid_pairs(spark, d):
     return grids.pair_lookup(cells("supplier"), cells("customer"), grid, None, 900.0)
 
 
+def _gap_sql() -> str:
+    """Distance of the boxes of ``s`` and ``c`` from the ends of their facing sides to the nearest points across."""
+    along = "greatest(least(((c.j-s.j)*5+720)%360,360-((c.j-s.j)*5+720)%360)-5,0)"
+    side = {t: (f"least({t}.i*5,90)", f"least({t}.i*5+5,90)") for t in "sc"}
+    arcs = []
+    for a, b in ("sc", "cs"):
+        for end in side[a]:
+            foot = f"degrees(atan2(sin(radians({end})),cos(radians({end}))*cos(radians({along}))))"
+            arcs += [_ARC.format(p=end, q=q, along=along) for q in (*side[b], f"greatest({side[b][0]},least({side[b][1]},{foot}))")]
+    return f"least({','.join(arcs)})"
+
+
+@query(f"SELECT s.cell AS source_h3, c.cell AS target_h3, {_CENTRES} AS distance_km FROM s, c WHERE s.cell<>c.cell AND ({_CENTRES}<=900 OR {_gap_sql()}<=900+1e-9)", with_=_CELLS_SQL, doubles="distance_km")
+def grid_cutoff(spark, d):
+    """As ``grid_pairs``, and pairs whose cells reach into the radius though their centres do not."""
+    grid = grids.SquareGrid(5.0)
+    cells = lambda t: D.points(spark, d, t).select(grid.cell(F.col("lat"), F.col("lon")).alias("cell")).distinct()
+    return grids.pair_lookup(cells("supplier"), cells("customer"), grid, None, 900.0, by_cells=True)
+
+
 @query(
     f"""SELECT source_h3, target_h3, s.lat AS source_lat, s.lon AS source_lon, t.lat AS target_lat, t.lon AS target_lon FROM pairs LEFT JOIN {D.points_sql('supplier')} s ON source_h3='S'||s.id LEFT JOIN {D.points_sql('supplier')} t ON target_h3='S'||t.id""",
     with_=D.PAIRS_SQL, doubles="source_lat source_lon target_lat target_lon",

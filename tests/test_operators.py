@@ -250,3 +250,29 @@ def test_pair_lookup_by_distance_alone(spark, edge, max_km):
         km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(np.sin((y - p) / 2) ** 2 + np.cos(p) * np.cos(y) * np.sin((x - q) / 2) ** 2, 0, 1)))
         expected |= {(f"{i}_{j}", f"{k}_{m}") for (k, m), d in zip(every, km, strict=True) if d <= max_km and (k, m) != (i, j)}
     assert got == expected
+
+
+def test_pair_lookup_by_cells(spark):
+    """Boxes of 1 km at 0, 2 and 3 km: the second is within 1.5 km though its centre is not."""
+    grid = grids.SquareGrid(1 / math.radians(6371.0088))
+    cells = spark.createDataFrame([("0_0",), ("0_2",), ("0_3",)], "cell string")
+    pairs = lambda **how: sorted(r["target_h3"] for r in grids.pair_lookup(cells.limit(1), cells, grid, None, 1.5, **how).collect())
+    assert pairs() == [] and pairs(by_cells=True) == ["0_2"]
+
+
+def test_gap_of_cells(spark):
+    """Distances of cells equal those of dense points on their edges."""
+    at = [(0, 0), (0, 1), (11, 0), (11, 3), (-12, 35), (17, 2), (17, 20), (5, -36), (9, 34), (-18, 4), (3, 33)]
+    grid, t = grids.SquareGrid(5.0), np.linspace(0, 5, 201)
+    cells = spark.createDataFrame([(f"{i}_{j}",) for i, j in at], "cell string")
+    both = cells.select(F.col("cell").alias("a")).crossJoin(cells.select(F.col("cell").alias("b")))
+    got = {(r["a"], r["b"]): r["km"] for r in both.select("a", "b", grid.gap_km(F.col("a"), F.col("b")).alias("km")).collect()}
+
+    def ring(i, j):
+        y, x = np.radians(np.concatenate([i * 5 + t, i * 5 + t, i * 5 + 0 * t, i * 5 + 5 + 0 * t])), np.radians(np.concatenate([j * 5 + 0 * t, j * 5 + 5 + 0 * t, j * 5 + t, j * 5 + t]))
+        return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], 1)
+
+    for p in at:
+        for q in at:
+            chord = np.sqrt(((ring(*p)[:, None] - ring(*q)[None]) ** 2).sum(2).min())
+            assert got[(f"{p[0]}_{p[1]}", f"{q[0]}_{q[1]}")] == pytest.approx(2 * 6371.0088 * math.asin(chord / 2), abs=1.5)
