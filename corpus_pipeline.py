@@ -20,8 +20,8 @@ from sightline.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return keep_good(docs)
+    """Documents that the quality rules keep, with fences that a source full of junk cannot raise."""
+    return keep_good(docs, bounded=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ counts, so they are pre-aggregated before any shuffle, come out the same in any
 roll up to a language and to the whole corpus for groups that are too small.
 
 A threshold is a robust fence: upper quartile plus a multiple of the distance between the
-quartiles plus a slack.  Documents beyond a fence, or failing the base rules, go.
+quartiles plus a slack.  Documents beyond a fence, or failing the base rules, go.  Where more
+than a quarter of a source is junk its own fence rises above the junk; bounded fences are at
+most those of the language and of the whole corpus.
 """
 
 from __future__ import annotations
@@ -108,8 +110,11 @@ def fences(sketch: DataFrame, keys: list[str], reach: int) -> DataFrame:
     return per_metric.groupBy(*keys).agg(F.max("docs").alias("docs"), *spread)
 
 
-def thresholds(sketch: DataFrame, *, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
-    """``lang, source, f_<metric>...``: each group's fences, of its language or the corpus if it is small."""
+def thresholds(sketch: DataFrame, *, reach: int = REACH, min_group: int = MIN_GROUP, bounded: bool = False) -> DataFrame:
+    """``lang, source, f_<metric>...``: each group's fences, of its language or the corpus if it is small.
+
+    ``bounded``: no fence is above that of the group's language (if not small) or of the corpus.
+    """
     own = fences(sketch, ["lang", "source"], reach)
     by_lang = fences(sketch, ["lang"], reach)
     every = fences(sketch.withColumn("all", F.lit(1)), ["all"], reach)
@@ -120,7 +125,9 @@ def thresholds(sketch: DataFrame, *, reach: int = REACH, min_group: int = MIN_GR
         .join(F.broadcast(renamed(every, "a_")), F.lit(True))  # one row
     )
     pick = lambda m: F.when(F.col("o_docs") >= min_group, F.col(f"o_f_{m}")).when(F.col("l_docs") >= min_group, F.col(f"l_f_{m}")).otherwise(F.col(f"a_f_{m}"))
-    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *[pick(m).alias(f"f_{m}") for m in FENCES])
+    bound = lambda m: F.least(pick(m), F.when(F.col("l_docs") >= min_group, F.col(f"l_f_{m}")), F.col(f"a_f_{m}"))
+    chosen = bound if bounded else pick
+    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *[chosen(m).alias(f"f_{m}") for m in FENCES])
 
 
 #: Most groups whose fences are broadcast; above, the join is a shuffle.
@@ -128,14 +135,14 @@ MAX_BROADCAST_GROUPS = 50_000
 ADDED = ["word_chars", "n_symbols", "n_capitals", "n_marks", "n_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
-def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, reach: int, min_group: int, max_broadcast_groups: int, with_text: bool) -> tuple[DataFrame, dict[str, str]]:
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, reach: int, min_group: int, max_broadcast_groups: int, bounded: bool, with_text: bool) -> tuple[DataFrame, dict[str, str]]:
     """All columns under private names plus the measures and verdict; column -> private name."""
     mine = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items() if with_text or c != text_col], F.col(text_col).alias("text"))
     measured = measure(slim, "text")
     measured = measured.select(*measured.columns, *[c.alias(f"m_{m}") for m, c in _metrics().items()])
     measured = materialize(measured, "quality")
-    limits = materialize(thresholds(sketches(measured, mine[lang_col], mine[source_col]), reach=reach, min_group=min_group), "quality-fences")
+    limits = materialize(thresholds(sketches(measured, mine[lang_col], mine[source_col]), reach=reach, min_group=min_group, bounded=bounded), "quality-fences")
     if limits.count() <= max_broadcast_groups:
         limits = F.broadcast(limits)
     joined = measured.join(limits, F.col(mine[lang_col]).eqNullSafe(F.col("lang")) & F.col(mine[source_col]).eqNullSafe(F.col("source")), "left")
@@ -155,16 +162,17 @@ def judge_quality(
     reach: int = REACH,
     min_group: int = MIN_GROUP,
     max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
+    bounded: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` without the text, with their measures, ``base_failed`` and ``kept``.
 
     A document fails the base rules with fewer than 50 words or with more than half of
     its words in repeated three-word windows; it is kept if it does not and no metric is
-    beyond the fence of its language and source.  Null text has no words; null language
+    beyond the fence of its language and source (see :func:`thresholds` for ``bounded``).  Null text has no words; null language
     or source is a group of its own; repeated rows are judged each; columns of ``docs``
     that carry a name this operator adds are not returned; an empty table gives an empty result.
     """
-    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, False)
+    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, bounded, False)
     carried = [F.col(n).alias(c) for c, n in mine.items() if c != text_col and c.lower() not in ADDED]
     return judged.select(*carried, *ADDED)
 
@@ -178,7 +186,8 @@ def keep_good(
     reach: int = REACH,
     min_group: int = MIN_GROUP,
     max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
+    bounded: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns."""
-    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, True)
+    judged, mine = _judged(docs, text_col, lang_col, source_col, reach, min_group, max_broadcast_groups, bounded, True)
     return judged.where("kept").select(*[F.col(n).alias(c) for c, n in mine.items()])

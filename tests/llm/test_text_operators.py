@@ -148,6 +148,19 @@ def test_fences_by_brute_force(spark, small):
             assert r[f"f_{m}"] == fence([x[f"m_{m}"] for x in pool], slack)
 
 
+def test_fences_of_a_junk_source(spark, small):
+    """Two fifths of one source are symbols: the pipeline's stage rejects them all and keeps the rest."""
+    import corpus_pipeline
+    from sightline.llm.quality import keep_good
+
+    clean = lambda i: " ".join(f"word{(i * 131 + k * k) % 9973}" for k in range(80))
+    rows = [(i, clean(i) + " #|<>" * 60 if i % 5 < 2 and i < 400 else clean(i), "en", "junky" if i < 400 else f"s{i % 2}") for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    junk = {r[0] for r in rows if "#|<>" in r[1]}
+    assert len(junk) == 160 and junk <= {r["doc_id"] for r in keep_good(docs).collect()}  # its own fence is above them
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, small).collect()} == set(range(2_000)) - junk
+
+
 # -- near duplicates ----------------------------------------------------------
 
 
