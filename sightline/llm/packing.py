@@ -1,8 +1,9 @@
 """Packing token pieces into fixed-length sequences as a cutting-stock problem.
 
 A document's ids are cut into pieces of at most the sequence length.  Only the
-histogram of piece lengths, in classes of ``granularity`` tokens, reaches the driver:
-at most ``length / granularity`` numbers, whatever the corpus size.  There
+histogram of piece lengths reaches the driver, in classes: exact lengths up to ``exact``
+ids, multiples of ``granularity`` above; at most ``exact + length / granularity`` numbers,
+whatever the corpus size.  There
 
 * a linear program over patterns (how many pieces of each class share a sequence) is
   solved by column generation; a knapsack dynamic program prices new patterns;
@@ -25,27 +26,82 @@ from sightline.llm.common import materialize, scratch_path, text_slices
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best value and item counts of an unbounded knapsack, by dynamic programming."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for w in range(1, capacity + 1):
-        best[w], choice[w] = best[w - 1], -1
-        if fits[w]:
-            got = best[w - s[: fits[w]]] + v[: fits[w]]
-            i = int(got.argmax())
-            if got[i] > best[w] + 1e-12:
-                best[w], choice[w] = got[i], i
-    counts, w = np.zeros(len(sizes), np.int64), capacity
-    while w > 0:
-        if choice[w] < 0:
-            w -= 1
-        else:
-            counts[order[choice[w]]] += 1
-            w -= s[choice[w]]
-    return float(best[capacity]), counts
+    """Best value and item counts of an unbounded knapsack, by dynamic programming.
+
+    One item after the other is allowed, in doubling numbers of copies, for all capacities at once.
+    """
+    n = len(sizes)
+    best = np.zeros((n + 1, capacity + 1))
+    spare = np.empty(capacity + 1)
+    for i in range(n):
+        row, s, v = best[i + 1], int(sizes[i]), float(values[i])
+        row[:] = best[i]
+        if v <= 0:
+            continue
+        copies, most = 1, capacity // s
+        while most > 0:
+            k = min(copies, most)
+            gain = spare[: capacity + 1 - k * s]
+            np.add(row[: capacity + 1 - k * s], k * v, out=gain)
+            np.maximum(row[k * s :], gain, out=row[k * s :])
+            most -= k
+            copies *= 2
+    counts, w = np.zeros(n, np.int64), capacity
+    for i in range(n - 1, -1, -1):
+        s, v = int(sizes[i]), float(values[i])
+        if best[i + 1, w] > best[i, w]:
+            k = np.arange(w // s + 1)
+            counts[i] = int((best[i, w - k * s] + k * v).argmax())
+            w -= int(counts[i]) * s
+    return float(best[n, capacity]), counts
+
+
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination with row pivots.
+
+    Elementwise on purpose, as is all arithmetic here: threaded linear algebra libraries can
+    stand still in a process that has started a JVM, and their sums depend on the threads.
+    """
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(work[i:, i]).argmax())
+        if pivot != i:
+            work[[i, pivot]] = work[[pivot, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        some = np.flatnonzero(factor)
+        work[some] -= factor[some, None] * work[i]
+    return work[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """``matrix`` times ``vector``, elementwise (see :func:`inverse_of`)."""
+    return (matrix * vector).sum(1)
+
+
+def _start(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible triangular basis with its costs and values: patterns filled largest first.
+
+    Where larger items' patterns already hold enough of an item, its column is a surplus.
+    """
+    n = len(sizes)
+    basis, cost, x = np.zeros((n, n)), np.zeros(n), np.zeros(n)
+    left = demand.astype(float)
+    for i in range(n - 1, -1, -1):
+        if left[i] <= 0:
+            basis[i, i], x[i] = -1, -left[i]
+            continue
+        room, cost[i] = capacity, 1
+        for j in range(i, -1, -1):
+            if sizes[j] <= room and left[j] > 0:
+                basis[j, i] = room // sizes[j]
+                room -= int(basis[j, i] * sizes[j])
+        x[i] = left[i] / basis[i, i]
+        left -= basis[:, i] * x[i]
+        left[i] = 0
+    return basis, cost, x
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
@@ -56,27 +112,24 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     basis or when the dual bound proves the rest smaller than ``gap``.  Returns patterns
     (rows) and how often each is used (real numbers).
     """
-    n = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    cost = np.ones(n)
-    inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
-    bound = float(sizes @ demand) / capacity
+    basis, cost, x = _start(sizes, demand, capacity)
+    inverse = inverse_of(basis)
+    bound = float((sizes * demand).sum()) / capacity
     for k in range(most):
-        if cost @ x - bound <= gap * (cost @ x):
+        if (cost * x).sum() - bound <= gap * (cost * x).sum():
             break
-        duals = cost @ inverse
+        duals = _times(inverse.T, cost)
         low = int(duals.argmin())
         if duals[low] < -1e-9:
-            column, price = np.zeros(n), 0.0
+            column, price = np.zeros(len(sizes)), 0.0
             column[low] = -1
         else:
             value, column = knapsack(np.maximum(duals, 0), sizes, capacity)
             price = 1.0
-            bound = max(bound, float(np.maximum(duals, 0) @ demand) / max(value, 1.0))
+            bound = max(bound, float((np.maximum(duals, 0) * demand).sum()) / max(value, 1.0))
             if value <= 1 + 1e-9:
                 break
-        direction = inverse @ column
+        direction = _times(inverse, column)
         up = np.flatnonzero(direction > 1e-10)
         if not len(up):
             break
@@ -84,12 +137,12 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         leave = up[int(ratio.argmin())]
         basis[:, leave], cost[leave] = column, price
         if k % 64 == 63:  # rounding errors do not pile up
-            inverse = np.linalg.inv(basis)
+            inverse = inverse_of(basis)
         else:
             row = inverse[leave] / direction[leave]
-            inverse -= np.outer(direction, row)
+            inverse -= direction[:, None] * row
             inverse[leave] = row
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum(_times(inverse, demand), 0)
     real = cost > 0
     return basis.T[real].round().astype(np.int64), x[real]
 
@@ -125,7 +178,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     return plan
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col: str, length: int, granularity: int, end_id: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col: str, length: int, granularity: int, exact: int, end_id: int) -> DataFrame:
     """Pieces of all documents with their ids: full pieces, then the remainder.
 
     ``part`` is the task that made a piece, ``rank`` its number there within its class.
@@ -135,7 +188,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col
 
     def cut(batches):
         bpe, part = load(tokenizer_path), TaskContext.get().partitionId()
-        seen = np.zeros(length // granularity + 2, np.int64)
+        seen = np.zeros(length + 1, np.int64)
         for batch in batches:
             for slice_ in text_slices(batch, 1, 4 << 20):
                 at, starts, sizes, totals, ranks, classes, ids = [], [], [], [], [], [], []
@@ -143,7 +196,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str, text_col
                     all_ids = np.append(bpe.encode(text or ""), np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(all_ids), length):
                         piece = all_ids[start : start + length]
-                        size_class = -(-len(piece) // granularity)
+                        size_class = len(piece) if len(piece) <= exact else -(-len(piece) // granularity) * granularity
                         at.append(i)
                         starts.append(start)
                         sizes.append(len(piece))
@@ -182,6 +235,7 @@ def pack(
     text_col: str = "text",
     length: int = 2048,
     granularity: int = 8,
+    exact: int = 128,
     end_id: int = 1,
 ) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, start, length, doc_tokens, sequence_id,
@@ -193,14 +247,14 @@ def pack(
     if length % granularity:
         raise ValueError("length must be a multiple of granularity")
     spark = docs.sparkSession
-    pieces = cut_documents(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length, granularity=granularity, end_id=end_id)
+    pieces = cut_documents(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length, granularity=granularity, exact=exact, end_id=end_id)
     pieces = pieces.withColumn("piece", F.monotonically_increasing_id()).withColumn("ids_crc32", F.crc32("ids"))
     path = scratch_path(spark, "pieces")
     pieces = materialize(pieces, "pieces", path)
     meta = pieces.drop("ids")
     totals = materialize(meta.groupBy("part", "size_class").agg(F.count("*").alias("n")), "class-totals")
     histogram = {r[0]: r[1] for r in totals.groupBy("size_class").agg(F.sum("n")).collect()}
-    slots = spark.sparkContext.broadcast(_slots(plan_sequences(histogram, length // granularity)))
+    slots = spark.sparkContext.broadcast(_slots(plan_sequences(histogram, length)))
     earlier = Window.partitionBy("size_class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("part", "size_class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = meta.join(before, ["part", "size_class"]).withColumn("rank", F.col("rank") + F.col("before"))

@@ -496,10 +496,26 @@ def test_cutting_stock():
             else:
                 room[i] -= s
         assert used <= 1.03 * len(room) + 1
+    # many pieces of three ids: nothing is rounded up, so 682 of them fill a sequence
+    assert sum(t for t, _ in plan_sequences({3: 6820}, 2048)) == 10
     value, counts = knapsack(np.array([3.0, 4.0, 5.0]), np.array([3, 4, 6]), 10)
     assert value == 10.0 and (counts * np.array([3, 4, 6])).sum() <= 10
 
 
+def test_solver_beside_a_running_session(spark):
+    """The driver's arithmetic stays out of threaded linear algebra, which can stand still once a JVM runs."""
+    from sightline.llm.packing import inverse_of, solve_patterns
+
+    assert spark.range(3).count() == 3
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(200, 200))
+    back = np.einsum("ij,jk->ik", matrix, inverse_of(matrix))
+    assert np.abs(back - np.eye(200)).max() < 1e-8
+    sizes = np.unique(rng.integers(40, 2048, 300))
+    patterns, x = solve_patterns(sizes, rng.integers(1, 500, len(sizes)).astype(float), 2048)
+    assert ((patterns * sizes).sum(1) <= 2048).all() and (x >= 0).all()
+
+
 def test_token_files(spark, edge, empty, library, tmp_path):
     from sightline.llm.token_files import ShardReader, read_token_files, write_token_files
 
