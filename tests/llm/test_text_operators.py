@@ -564,51 +564,102 @@ def test_toxicity(spark, edge, empty):
     assert none["p_toxic"] == 0.5 and not none["is_toxic"]
 
 
-def brute_viterbi(model, emission):
-    import itertools
+def score_of(model, emission, path):
+    return model.first[path[0]] + emission[0][path[0]] + sum(model.step[a, b] + emission[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False)))
 
-    best = None
-    for path in itertools.product(range(len(model.roles)), repeat=len(emission)):
-        s = model.first[path[0]] + sum(emission[i][p] for i, p in enumerate(path)) + sum(model.step[a, b] for a, b in itertools.pairwise(path))
-        best = max(best or (-np.inf, ()), (s, path))
-    return best[0]
 
+def brute_best(model, emission):
+    """Best score of any path, by plain dynamic programming over Python integers."""
+    n = len(model.first)
+    best = [int(model.first[s]) + int(emission[0][s]) for s in range(n)]
+    for e in emission[1:]:
+        best = [max(best[a] + int(model.step[a, b]) for a in range(n)) + int(e[b]) for b in range(n)]
+    return max(best)
 
-def test_viterbi():
-    from sightline.llm.chat import Model
 
-    rng = np.random.default_rng(7)
-    for _ in range(30):
-        model = Model(["a", "b", "c"], rng.normal(size=3), rng.normal(size=(3, 3)), [], [])
-        emission = rng.normal(size=(7, 3))
-        path = model.viterbi(emission, model.first)
-        score = model.first[path[0]] + sum(emission[i][p] for i, p in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:], strict=False))
-        assert score == pytest.approx(brute_viterbi(model, emission))
-        folded = model.matrix(emission[:4])[3][:, None] + model.matrix(emission[4:])[:3]
-        assert folded.max() == pytest.approx(score)
+def test_viterbi():
+    import itertools
 
+    from sightline.llm import chat
 
-def test_chat(spark, small, monkeypatch):
+    rng = np.random.default_rng(7)
+    counts = lambda *shape: rng.integers(0, 30, shape).astype(float)
+    for _ in range(5):
+        model = chat.Model(counts(chat.STATES), counts(chat.STATES, chat.STATES), [counts(v, chat.STATES) for v in chat.SHAPE])
+        emission = -rng.integers(0, 10**6, (4, chat.STATES))
+        path = model.decode(emission)
+        every = max(score_of(model, emission, p) for p in itertools.product(range(chat.STATES), repeat=4))
+        assert score_of(model, emission, path) == every == brute_best(model, emission)
+        assert np.maximum((model.matrix(emission[:2])[chat.STATES][:, None] + model.matrix(emission[2:])[: chat.STATES]).max(0), -(10**13)).max() == every
+
+
+@pytest.mark.parametrize(("scale", "chunk_chars", "fan_bits"), [("0.01", None, 10), ("0.001", 60, 1)])
+def test_chat(spark, scale, chunk_chars, fan_bits):
+    """The whole query against a plain parse of every transcript, and held-out accuracy; chunks do not matter."""
     from sightline.llm import chat
 
-    turns = spark.read.parquet(f"{small}/conversations.parquet")
-    truth = {(r["conv_id"], r["turn"]): r["role"] for r in turns.collect()}
-    got = chat.format_chats(turns, train_on="conv % 2 = 0").where("conv_id % 2 = 1").collect()
-    assert sum(truth[r["conv_id"], r["turn"]] == r["role"] for r in got) >= 0.9 * len(got)
-    assert all(r["text"].startswith(f"<|{r['role']}|>\n") and r["text"].endswith("<|end|>\n") for r in got)
-    before = {(r["conv_id"], r["turn"]): r["role"] for r in chat.format_chats(turns).collect()}
-    monkeypatch.setattr(chat, "BLOCK", 2)  # the same roles from many small blocks
-    assert {(r["conv_id"], r["turn"]): r["role"] for r in chat.format_chats(turns).collect()} == before
+    turns = spark.read.parquet(f"/root/testdata/sf{scale}/conversations.parquet")
+    written = chat.keyed(chat.write_transcripts(turns, chunk_chars=chunk_chars), 2)
+    models = chat.train(written, 2)
+    convs = defaultdict(list)
+    for r in sorted(written.collect(), key=lambda r: r["at"]):
+        convs[r["conv"]].append(r)
+    got = defaultdict(list)
+    for r in chat.format_chats(turns, chunk_chars=chunk_chars, fan_bits=fan_bits).collect():
+        got[r["conv_id"]].append(r)
+    assert got.keys() == convs.keys() and (chunk_chars is None or max(map(len, convs.values())) > 2)
+    right = total = 0
+    for conv, chunks in convs.items():
+        model = models[chunks[0]["fold"]]
+        lines = [line for c in chunks for line in c["text"].split("\n")]
+        truth = [s // 3 for c in chunks for s in c["states"]]
+        emission = model.emission(lines)
+        pieces = sorted(got[conv], key=lambda r: (r["piece"], r["turn"]))
+        assert sum(p["n_lines"] for p in pieces) == len(lines)
+        path, last = [], None
+        for p in pieces:  # the path the rows stand for: a turn's first line begins, others stand inside or are blank
+            role = chat.ROLES.index(p["role"])
+            at = len(path)
+            for i in range(p["n_lines"]):
+                begins = i == 0 and p["turn"] != last
+                options = [3 * role] if begins else [3 * role + 1, 3 * role + 2]
+                path.append(options)
+            last = p["turn"]
+            body = lines[at : at + p["n_lines"]]
+            assert p["text"] == chat.render(role, path[at] == [3 * role], body)
+        assert [p["turn"] for p in pieces] == sorted(p["turn"] for p in pieces) and pieces[0]["turn"] == 0
+        free = np.full((len(lines), chat.STATES), -(10**13))
+        for i, options in enumerate(path):
+            free[i, options] = emission[i, options]
+        assert brute_best(model, free) == brute_best(model, emission)
+        right += sum(t == o[0] // 3 for t, o in zip(truth, path, strict=True))
+        total += len(truth)
+    assert right >= (0.95 if scale == "0.01" else 0.8) * total  # of few conversations, less is learned
 
 
 def test_chat_edges(spark):
-    from sightline.llm.chat import format_chats, split_marker
+    from sightline.llm.chat import format_chats, keyed, parse_transcripts, split_marker, train
 
-    assert split_marker("Human: hi") == ("user", "hi") and split_marker("<|assistant|>\nyes<|end|>") == ("assistant", "yes")
-    assert split_marker("Note: x") == ("none", "Note: x")
-    rows = [(1, 0, None, "User: hi"), (1, 1, None, "Bot: hello"), (None, None, None, None), (2, None, None, ""), (2, 0, None, "x" * 100_000), (1, 1, None, "Bot: hello")]
+    assert split_marker("Human: hi") == (0, "hi") and split_marker("<|assistant|> yes<|end|>") == (1, "yes")
+    assert split_marker("Note: x") == (-1, "Note: x")
+    rows = [(1, 0, None, "User: hi"), (1, 1, None, "Bot: hello"), (None, None, None, None), (2, None, None, ""), (2, 0, None, "x" * 100_000), (1, 1, None, "Bot: hello"), (3, 0, "judge", "a\n<|user|> b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit("clash"))
     got = format_chats(df).collect()
-    assert len(got) == len(rows)
-    assert {r["role"] for r in got if r["conv_id"] == 1 and r["turn"] == 1} == {"assistant"}
+    assert {r["conv_id"] for r in got} == {None, 1, 2, 3} and not any("<|user|> b" in r["text"] for r in got)
     assert format_chats(df.limit(0)).count() == 0
+    talk = "User: hi there\nBot: hello\nhow are you?\n\nHuman: fine"
+    plain = keyed(spark.createDataFrame([(7, 0, talk, None), (8, 0, None, None)], "conv long, at long, text string, states array<int>"), 1)
+    found = parse_transcripts(plain, train(plain, 1)).where("conv = 7").orderBy("turn").collect()
+    assert [(r["turn"], r["text"]) for r in found] == [(0, "<|user|>\nhi there\n"), (1, "<|assistant|>\nhello\nhow are you?\n"), (2, "<|user|>\nfine\n")]
+
+
+def test_hot_conversation(spark):
+    """One conversation holds nearly all rows, with repeated turns: it is spread over chunks and stays whole."""
+    from sightline.llm.chat import format_chats
+
+    rows = [(1, i // 2, ("user", "assistant")[i % 2], f"line {i}") for i in range(400)] + [(1, 5, "user", "same")] * 50 + [(2, 0, "user", "hello")]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk_chars=100, fan_bits=2).collect()
+    hot = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["piece"], r["turn"]))
+    words = Counter(x for r in hot for x in r["text"].split("\n") if x and not x.startswith("<|"))
+    assert len({r["piece"] for r in hot}) > 20
+    assert sum(words.values()) == 450 and words["same"] == 50
