@@ -7,10 +7,11 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
    run of windows with one anchor, and the bytes they cover, is a context.
 2. Anchors met once: no window repeats.  Anchors whose contexts are all equal: every
    window repeats.  Equal contexts are counted, never gathered.
-3. Of the rest, one of each distinct context remains.  Anchors with few distinct contexts
+3. Of the rest, one of each distinct context remains.  Anchors with up to ``max_contexts`` of them
    go to shards; a shard's contexts are concatenated and their suffix array, built by induced
-   sorting, with its permuted common prefixes tells which windows repeat.
-4. Anchors with many distinct contexts are first cut into cells of windows, each with what
+   sorting, with its permuted common prefixes tells which windows repeat: those whose
+   prefix in common with the neighbour before or after reaches a window's length.
+4. Anchors with more distinct contexts are first cut into cells of windows, each with what
    its windows have in common as the new anchor, and go through 2 and 3 again; cells of one
    window are decided by counting.  So no group is ever gathered whole, however hot.
 """
@@ -25,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import U64, expand_ranges, materialize, mix64, powers, scratch_path, shared_dir, sliding_min, text_slices, utf8_buffers
-from sightline.llm.suffix_array import suffix_array
+from sightline.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 64
 #: Cells of windows that contexts of hot anchors are cut into, one size after the other.
 CELLS = (16, 1)
 #: Anchors with more distinct contexts are hot.
-MAX_CONTEXTS = 48
+MAX_CONTEXTS = 1024
+#: Most repeated contexts (16 bytes each) that are broadcast.
+MAX_BROADCAST_KEYS = 400_000
 SHARD_BYTES = 2 << 20
 _SEGMENT = 1 << 20
 _BASE = 0xDA942042E4DD58B5
@@ -174,15 +177,13 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray, length: int) -> lis
     order = suffix_array(joined)
     window = np.zeros(len(joined), bool)
     window[expand_ranges(starts, counts)] = True
-    # of the permuted common prefixes only those of neighbours that both start a window matter,
-    # and of those only whether they reach a window's length
-    at = np.flatnonzero(window[order[1:]] & window[order[:-1]])
-    hashes = Ranges(joined)
-    a, b = order[at + 1], order[at]
-    reach = hashes.get(a, a + length) == hashes.get(b, b + length)
+    # a common prefix of that length cannot contain the end of a text: both of its places start windows
+    reach = np.flatnonzero(window & (permuted_lcp(joined, order) >= length))
+    before = np.empty(len(joined), np.int64)
+    before[order[1:]] = order[:-1]
     again = np.zeros(len(joined), bool)
-    again[a[reach]] = True
-    again[b[reach]] = True
+    again[reach] = True
+    again[before[reach]] = True
     return [again[s : s + c] for s, c in zip(starts, counts, strict=True)]
 
 
@@ -236,6 +237,8 @@ def find_repeats(docs: DataFrame, length: int, gram: int = GRAM, max_contexts: i
         least = F.min(F.struct("row", "start", "windows", "offset")).alias("p")
         distinct = materialize(mixed.groupBy("key", "context").agg(F.count("*").alias("n"), least), "distinct")
         again = distinct.where("n > 1").select("key", "context")
+        if again.count() <= MAX_BROADCAST_KEYS:  # so that a hot context's occurrences stay where they are
+            again = F.broadcast(again)
         spans.append(mixed.join(again, ["key", "context"], "left_semi").select("row", "start", whole))
         groups = distinct.groupBy("key").agg(F.count("*").alias("contexts"), F.sum((F.col("n") == 1).cast("int")).alias("alone")).where("alone > 0")
         open_ = distinct.join(groups.select("key", "contexts"), "key")
@@ -271,6 +274,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     placed = mine.repartition(buckets, "row").write.bucketBy(buckets, "row").option("compression", "zstd")
     placed.option("path", scratch_path(spark, "texts")).saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the plan has read what it needs
     spans = materialize(find_repeats(texts, length, gram, max_contexts), "repeats")
     listed = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("list"))
     joined = texts.join(listed, "row", "left").select("doc_id", "text", "list")
