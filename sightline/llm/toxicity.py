@@ -4,16 +4,17 @@ Categories are predicted one after the other by linear models; the probabilities
 earlier ones are features of the later ones, which are trained on out-of-fold
 predictions, so that training sees what prediction will see.
 
-Word statistics come from all labelled documents, by mergeable counts; they choose the
-features.  The models are fitted on the driver, on at most ``sample`` labelled rows
-(chosen by a hash of the id) and a fixed number of features.  Every document is scored.
+Word statistics come from all labelled documents, by mergeable counts per fold; they choose the
+features, for a fold's models without that fold's documents.  The models are fitted on the
+driver, on at most ``sample`` labelled rows (those with the least hashes of their ids) and a
+fixed number of features.  Every document is scored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import NON_ALNUM, Words, materialize, text_slices, utf8_buffers
@@ -33,24 +34,65 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, *, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Weights (last: bias) of an L2-penalized logistic regression, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    n = max(1, len(x))
-    # a bound of the curvature: a quarter of the largest eigenvalue, by power iteration
-    v = np.ones(x.shape[1], x.dtype)
-    for _ in range(12):
-        v = x.T @ (x @ v)
-        v /= max(np.linalg.norm(v), 1e-12)
-    step = 1 / (0.25 * float(np.linalg.norm(x @ v) ** 2) / n * 1.1 + penalty)
-    w = z = np.zeros(x.shape[1], x.dtype)
-    keep = np.full(x.shape[1], penalty, x.dtype)
+class Design:
+    """A sparse 0/1 matrix (``row``, ``column`` of its ones) beside a few dense columns and a constant.
+
+    Products are plain sums: threaded linear algebra libraries can stand still in a process
+    that has started a JVM, and their sums depend on the threads.
+    """
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int], dense: np.ndarray):
+        self.row, self.column, (self.rows, self.width), self.dense = row, column, shape, dense
+        by_row, by_column = np.argsort(row, kind="stable"), np.argsort(column, kind="stable")
+        self._columns, self._rows = column[by_row], row[by_column]
+        (self._row_at, self._row_first), (self._column_at, self._column_first) = (np.unique(a, return_index=True) for a in (row[by_row], column[by_column]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.full(self.rows, w[-1])
+        if len(self._columns):
+            out[self._row_at] += np.add.reduceat(w[self._columns], self._row_first)
+        for j in range(self.dense.shape[1]):
+            out += self.dense[:, j] * w[self.width + j]
+        return out
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """Transposed product."""
+        out = np.zeros(self.width + self.dense.shape[1] + 1)
+        if len(self._rows):
+            out[self._column_at] = np.add.reduceat(u[self._rows], self._column_first)
+        out[self.width : -1] = (self.dense * u[:, None]).sum(0)
+        out[-1] = u.sum()
+        return out
+
+    def part(self, keep: np.ndarray) -> "Design":
+        """The rows where ``keep`` holds."""
+        number = np.cumsum(keep) - 1
+        some = keep[self.row]
+        return Design(number[self.row[some]], self.column[some], (int(keep.sum()), self.width), self.dense[keep])
+
+
+def fit_logistic(x: Design, y: np.ndarray, *, penalty: float = 1e-3, rounds: int = 300, least: float = 1e-4) -> np.ndarray:
+    """Weights (last: bias) of an L2-penalized logistic regression, until no gradient exceeds ``least`` or ``rounds`` are over.
+
+    Accelerated steps with restarts; a column's step follows from a bound of the curvature (a
+    quarter of each one times its row's sum, which holds for entries that are not negative).
+    """
+    n = max(1, x.rows)
+    keep = np.full(x.width + x.dense.shape[1] + 1, penalty)
     keep[-1] = 0
-    for k in range(rounds):
-        grad = x.T @ (_sigmoid(x @ z) - y) / n + keep * z
-        new = z - step * grad
+    curve = 0.25 * x.back(x.times(np.ones(len(keep)))) / n + keep + 1e-9
+    w = z = np.zeros(len(keep))
+    k = 0
+    for _ in range(rounds):
+        grad = x.back(_sigmoid(x.times(z)) - y) / n + keep * z
+        if np.abs(grad).max() < least:
+            break
+        new = z - grad / curve
+        if (grad * (new - w)).sum() > 0:
+            k = 0
         z = new + k / (k + 3) * (new - w)
         w = new
+        k += 1
     return w
 
 
@@ -73,45 +115,53 @@ class Chain:
         self.weights: list[np.ndarray] = []
         self.thresholds: list[float] = []
 
-    def fit(self, x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> "Chain":
-        """``labels``: a column for each category, -1 where unknown."""
-        chain = np.zeros((len(x), 0), np.float32)
+    def fit(self, found: tuple[np.ndarray, np.ndarray], known: np.ndarray, chosen: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> "Chain":
+        """``found``: row and number in ``known`` (hashes) of each feature present; ``chosen``: for every fold
+        the features chosen without it; ``labels``: a column for each category, -1 where unknown."""
+        row, feature = found
+
+        def design(features: np.ndarray, dense: np.ndarray) -> Design:
+            at = np.searchsorted(features, known[feature])
+            at[at == len(features)] = 0
+            some = np.flatnonzero(features[at] == known[feature]) if len(features) else np.zeros(0, np.int64)
+            return Design(row[some], at[some], (len(labels), len(features)), dense)
+
+        chain = np.zeros((len(labels), 0))
         for j in range(len(self.categories)):
             y = labels[:, j]
             have = y >= 0
-            both = np.hstack([x, chain])
-            apart = np.zeros(len(x), np.float32)
+            apart = np.zeros(len(labels))
             for f in range(FOLDS):
-                w = fit_logistic(both[have & (folds != f)], y[have & (folds != f)])
-                apart[folds == f] = _sigmoid(both[folds == f] @ w[:-1] + w[-1])
-            self.weights.append(fit_logistic(both[have], y[have]))
+                x = design(chosen[f], chain)
+                w = fit_logistic(x.part(have & (folds != f)), y[have & (folds != f)])
+                apart[folds == f] = _sigmoid(x.part(folds == f).times(w))
+            self.weights.append(fit_logistic(design(self.features, chain).part(have), y[have]))
             self.thresholds.append(best_threshold(apart[have], y[have]))
             chain = np.hstack([chain, apart[:, None]])
         return self
 
-    def presence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Text number and feature number of each feature present, each pair once."""
-        if not len(self.features) or not len(words.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        text, hashes = tokens(words)
-        at = np.searchsorted(self.features, hashes)
-        at[at == len(self.features)] = 0
-        met = np.flatnonzero(self.features[at] == hashes)
-        pairs = np.unique(text[met] * len(self.features) + at[met])
-        return pairs // len(self.features), pairs % len(self.features)
-
     def predict(self, words: Words) -> np.ndarray:
         """Probabilities, a column for each category."""
         n = len(words.first) - 1
-        text, feature = self.presence(words)
+        text, feature = presence(words, self.features)
         out = np.zeros((n, len(self.categories)))
         for j, w in enumerate(self.weights):
-            k = len(self.features)
-            score = np.bincount(text, weights=w[:k].astype(float)[feature], minlength=n) + float(w[-1])
-            out[:, j] = _sigmoid(score + out[:, :j] @ w[k:-1].astype(float))
+            out[:, j] = _sigmoid(Design(text, feature, (n, len(self.features)), out[:, :j]).times(w))
         return out
 
 
+def presence(words: Words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and number in ``features`` (sorted) of each feature present, each pair once."""
+    if not len(features) or not len(words.hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text, hashes = tokens(words)
+    at = np.searchsorted(features, hashes)
+    at[at == len(features)] = 0
+    met = np.flatnonzero(features[at] == hashes)
+    pairs = np.unique(text[met] * len(features) + at[met])
+    return pairs // len(features), pairs % len(features)
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """Middle of the gap below the cut that maximizes F1; 0.5 where there are no positives."""
     order = np.argsort(-p, kind="stable")
@@ -129,26 +179,33 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories: list[str], most: i
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"y{j}") for j, c in enumerate(categories)])
     if labels.count() <= most:
         marks = F.broadcast(marks)
-    return docs.join(marks, "doc_id").select("doc_id", "text", *[F.coalesce(f"y{j}", F.lit(-1)).alias(f"y{j}") for j in range(len(categories))])
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+    return docs.join(marks, "doc_id").select("doc_id", "text", fold, *[F.coalesce(f"y{j}", F.lit(-1)).alias(f"y{j}") for j in range(len(categories))])
+
 
+def _choose_features(labelled: DataFrame, n: int, features: int) -> list[np.ndarray]:
+    """Hashes of the words and prefixes with the largest chi-squared statistics for any category.
 
-def _choose_features(labelled: DataFrame, n: int, features: int) -> np.ndarray:
-    """Hashes of the words and prefixes with the largest chi-squared statistics for any category."""
-    marks = [f"y{j}" for j in range(n)]
+    One set without each fold's documents, and last one over all.
+    """
+    width = 1 + n  # documents, and those of each category
+    columns = [f"c{f}_{j}" for f in range(FOLDS) for j in range(width)]
 
     def count(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, ...]:
-            rows = np.concatenate(held, axis=1)
-            order = np.argsort(rows[0].view(np.uint64), kind="stable")
-            rows = rows[:, order]
-            first = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+        def merged() -> pa.RecordBatch:
+            words, key = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
-            return rows[0, first], *np.add.reduceat(rows[1:], first, axis=1)
-
-        def batch_of(columns):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "docs", *marks])
+            order = np.argsort(words, kind="stable")
+            words, key = words[order], key[order]
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+            counts = np.zeros((len(columns), len(first)), np.int64)
+            for j in range(width):
+                some = key[:, j + 1] > 0
+                np.add.at(counts, (key[some, 0] * width + j, number[some]), 1)
+            return pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), *[pa.array(c) for c in counts]], ["word", *columns])
 
         size = 0
         for batch in batches:
@@ -160,56 +217,76 @@ def _choose_features(labelled: DataFrame, n: int, features: int) -> np.ndarray:
                 h, t = h[new], t[new]
                 if not len(h):
                     continue
-                ys = [(part.column(1 + j).to_numpy() == 1).astype(np.int64)[t] for j in range(n)]
-                held.append(np.stack([h.view(np.int64), np.ones(len(h), np.int64), *ys]))
+                marks = np.stack([part.column(1).to_numpy(), np.ones(part.num_rows, int), *[part.column(2 + j).to_numpy() == 1 for j in range(n)]], axis=1).astype(np.int64)
+                held.append((h, marks[t]))
                 size += len(h)
-                if size > 2_000_000:
-                    yield batch_of(merged())
+                if size > 1_000_000:
+                    yield merged()
                     size = 0
         if held:
-            yield batch_of(merged())
-
-    counted = labelled.select("text", *marks).mapInArrow(count, "word long, docs long, " + ", ".join(f"{m} long" for m in marks))
-    words = counted.groupBy("word").agg(F.sum("docs").alias("docs"), *[F.sum(m).alias(m) for m in marks]).where(F.col("docs") >= LEAST_DOCS)
-    words = materialize(words, "words")
-    totals = labelled.agg(F.count("*"), *[F.sum((F.col(m) == 1).cast("long")) for m in marks]).first()
-    every, chosen = totals[0], set()
-    for m, positive in zip(marks, totals[1:], strict=True):
-        if positive and positive < every:
-            d = F.col("docs").cast("double")
-            gap = F.col(m) * F.lit(float(every)) - d * float(positive)
-            spread = d * (F.lit(float(every)) - d) * float(positive) * float(every - positive)
-            chi = F.try_divide(gap * gap * float(every), spread)
-            chosen |= {r[0] for r in words.where(chi >= LEAST_CHI).orderBy(F.desc_nulls_last(chi), "word").limit(features).select("word").collect()}
-    return np.sort(np.array(sorted(chosen), dtype=np.int64).view(np.uint64))
+            yield merged()
+
+    counted = labelled.select("text", "fold", *[f"y{j}" for j in range(n)]).mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in columns))
+    words = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    totals = np.zeros((FOLDS, width))
+    for r in labelled.groupBy("fold").agg(F.count("*"), *[F.sum((F.col(f"y{j}") == 1).cast("long")) for j in range(n)]).collect():
+        totals[r[0]] = r[1:]
+    scored = []
+    for left_out in range(FOLDS + 1):
+        used = [f for f in range(FOLDS) if f != left_out]
+        every, *positives = totals[used].sum(0)
+        of = lambda j: sum((F.col(f"c{f}_{j}") for f in used), F.lit(0))  # noqa: B023, E731
+        for j, positive in enumerate(positives, start=1):
+            if 0 < positive < every:
+                d = of(0).cast("double")
+                gap = of(j) * F.lit(float(every)) - d * float(positive)
+                spread = d * (F.lit(float(every)) - d) * float(positive) * float(every - positive)
+                chi = F.when(of(0) >= LEAST_DOCS, F.try_divide(gap * gap * float(every), spread))
+                scored.append(F.struct(F.lit(left_out).alias("left_out"), F.lit(j).alias("category"), chi.alias("chi")))
+    chosen: list[set] = [set() for _ in range(FOLDS + 1)]
+    if scored:
+        long = words.select("word", F.explode(F.array(*scored)).alias("s")).select("word", "s.*").where(F.col("chi") >= LEAST_CHI)
+        rank = F.row_number().over(Window.partitionBy("left_out", "category").orderBy(F.desc("chi"), "word"))
+        for r in long.withColumn("rank", rank).where(F.col("rank") <= features).select("left_out", "word").collect():
+            chosen[r[0]].add(r[1])
+    return [np.sort(np.array(sorted(c), dtype=np.int64).view(np.uint64)) for c in chosen]
 
 
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: int = SAMPLE, features: int = FEATURES, max_broadcast_labels: int = MAX_BROADCAST_LABELS
 ) -> Chain:
-    """Fit a chain over ``categories`` (0/1 columns of ``labels``, null unknown) on ``docs`` (``doc_id, text``)."""
+    """Fit a chain over ``categories`` (0/1 columns of ``labels``, null unknown) on ``docs`` (``doc_id, text``).
+
+    The rows to fit on are the ``sample`` least by a hash of the id (ties, repeated rows among
+    them: by the hash of the text), so they do not depend on the partitioning.
+    """
     labelled = materialize(_labelled(docs, labels, categories, max_broadcast_labels), "labelled")
-    chain = Chain(_choose_features(labelled, len(categories), features), categories)
+    *chosen, final = _choose_features(labelled, len(categories), features)
+    known = np.unique(np.concatenate([*chosen, final]))
+    chain = Chain(final, categories)
     total = labelled.count()
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    picked = labelled.where(spread < int(1_000_000 * min(1.0, sample / max(1, total)))).limit(sample)
-
-    def found(batches):
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
+    # a generous cut first, so that little is ranked; where it leaves too few, all rows are
+    near = labelled.where(place < int(1_000_000 * min(1.0, 2 * sample / max(1, total))))
+    near = near if total <= sample or near.count() >= sample else labelled
+    picked = near.orderBy(place, "doc_id", F.xxhash64("text")).limit(sample)
+    marks = [f"y{j}" for j in range(len(categories))]
+
+    def find(batches):
         for batch in batches:
-            for part in text_slices(batch, 1, 2 << 20):
-                text, feature = chain.presence(Words(*utf8_buffers(part.column(1)), NON_ALNUM))
+            for part in text_slices(batch, 0, 2 << 20):
+                text, feature = presence(Words(*utf8_buffers(part.column(0)), NON_ALNUM), known)
                 cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
                 lists = [feature[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(lists, pa.list_(pa.int32()))], ["doc_id", *[f"y{j}" for j in range(len(categories))], "found"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lists, pa.list_(pa.int32()))], ["place", "fold", *marks, "found"])
 
-    id_type = labelled.schema["doc_id"].dataType.simpleString()
-    marks = ", ".join(f"y{j} int" for j in range(len(categories)))
-    rows = picked.mapInArrow(found, f"doc_id {id_type}, {marks}, found array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS))).toArrow()
-    x = np.zeros((rows.num_rows, len(chain.features)), np.float32)
-    for i, held in enumerate(rows.column("found").to_pylist()):
-        x[i, held] = 1
-    y = np.stack([rows.column(f"y{j}").to_numpy() for j in range(len(categories))], axis=1).astype(np.float32) if rows.num_rows else np.zeros((0, len(categories)), np.float32)
-    return chain.fit(x, y, rows.column("fold").to_numpy())
+    kinds = "place long, fold int, " + ", ".join(f"{m} int" for m in marks)
+    rows = picked.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("place"), "fold", *marks).mapInArrow(find, f"{kinds}, found array<int>").toArrow()
+    rows = rows.sort_by("place")  # sums of the fit in one order
+    held = rows.column("found").to_pylist()
+    found = (np.repeat(np.arange(len(held)), [len(h) for h in held]), np.array([c for h in held for c in h], dtype=np.int64))
+    y = np.stack([rows.column(m).to_numpy() for m in marks], axis=1).astype(float) if rows.num_rows else np.zeros((0, len(categories)))
+    return chain.fit(found, known, chosen, y, rows.column("fold").to_numpy())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
@@ -219,7 +296,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], *,
     out-of-fold F1.  Null or empty text has no words and gets the base rates; null ids are
     scored but never used for training; of several labels for an id the largest counts;
     without labels every probability is 0.5 and no flag is set; repeated rows each give a
-    row; other columns are ignored; an empty table gives an empty result.
+    row; equal statistics and equal places in the sample are decided by hashes of the word, id
+    and text; a flag needs a probability above the threshold; other columns are ignored; an empty table gives an empty result.
     """
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chain = fit_chain(mine, labels, categories, **bounds)

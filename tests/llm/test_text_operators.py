@@ -281,7 +281,7 @@ def test_repeats(spark, edge, empty, most):
     rng = random.Random(2)
     base = ["".join(rng.choice("ab") for _ in range(rng.randint(50, 400))) for _ in range(6)]
     docs = [(i, "".join(rng.choice(base)[rng.randint(0, 30) :] + rng.choice(["", "x", "yy", "é"]) for _ in range(rng.randint(0, 4)))) for i in range(50)]
-    docs += [(100, "a" * 3000), (101, "ab" * 900), (102, None), (103, "")]
+    docs += [(100, "a" * 3000), (101, "ab" * 900), (102, None), (103, ""), (104, "abc" * 500), (105, "x" + "abc" * 400), (106, "a" * 39), (107, "a" * 40)]
     got = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=40, gram=12, max_contexts=most).collect()
     rows = sorted(((r["doc_id"], r["n_bytes"], sum(s["stop"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in got), key=repr)
     assert rows == brute_repeats([(k, (t or "").encode()) for k, t in docs], 40)
@@ -300,15 +300,20 @@ def test_long_text_in_segments(spark):
     assert [s["stop"] - s["start"] for s in r["spans"]] == [3000, 3000, 3000]
 
 
-def test_suffix_array():
-    from sightline.llm.suffix_array import permuted_lcp, suffix_array
+@pytest.mark.parametrize("buckets", [4096, 0, 3])
+def test_suffix_array(monkeypatch, buckets):
+    """Random, periodic and constant strings, with either way of inducing at every level."""
+    from sightline.llm import suffix_array
 
+    monkeypatch.setattr(suffix_array, "BUCKETS", buckets)
     rng = np.random.default_rng(0)
     for _ in range(400):
-        x = rng.integers(0, rng.integers(2, 8), rng.integers(0, 50))
-        order = suffix_array(x)
+        x = rng.integers(0, rng.integers(1, 9), rng.integers(0, 50))
+        if rng.random() < 0.3:
+            x = np.tile(x, 3)
+        order = suffix_array.suffix_array(x)
         assert list(order) == sorted(range(len(x)), key=lambda i: list(x[i:]))
-        prefix = permuted_lcp(x, order)
+        prefix = suffix_array.permuted_lcp(x, order)
         for a, b in zip(order[1:], order[:-1], strict=True):
             k = 0
             while max(a, b) + k < len(x) and x[a + k] == x[b + k]:
@@ -316,6 +321,18 @@ def test_suffix_array():
             assert prefix[a] == k
 
 
+def test_long_periodic_strings():
+    """A run and a period of 300,000 characters take no step for each character."""
+    from sightline.llm.suffix_array import permuted_lcp, suffix_array
+
+    n = 300_000
+    order = suffix_array(np.ones(n, np.uint16))
+    assert (order == np.arange(n)[::-1]).all() and (permuted_lcp(np.ones(n, np.uint16), order) == np.append(np.arange(n)[:0:-1], 0)).all()
+    x = np.tile(np.array([3, 1, 2], np.uint16), n // 3)
+    order = suffix_array(x)
+    assert (np.diff(x[order].astype(int)) >= 0).all() and permuted_lcp(x, order).max() == n - 3
+
+
 # -- personal data ------------------------------------------------------------
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -564,6 +581,34 @@ def test_toxicity(spark, edge, empty):
     assert none["p_toxic"] == 0.5 and not none["is_toxic"]
 
 
+def test_toxicity_features(spark):
+    """The features of every fold against plain counting, and predictions on documents held out."""
+    from sightline.llm import toxicity
+    from sightline.llm.common import NON_ALNUM, Words, utf8_buffers
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity._labelled(docs, labels, ["toxic"], 10**6).collect()
+    got = toxicity._choose_features(toxicity._labelled(docs, labels, ["toxic"], 10**6), 1, 40)
+    held = [set(toxicity.tokens(Words(*utf8_buffers(pa.array([r["text"] or ""])), NON_ALNUM))[1].tolist()) for r in rows]
+    for f in range(toxicity.FOLDS + 1):
+        used = [(h, r["y0"] == 1) for h, r in zip(held, rows, strict=True) if r["fold"] != f]
+        count, hits = Counter(x for h, _ in used for x in h), Counter(x for h, y in used if y for x in h)
+        n, p = float(len(used)), float(sum(y for _, y in used))
+        scored = []
+        for x, d in count.items():
+            chi = (hits[x] * n - d * p) ** 2 * n / (d * (n - d) * p * (n - p)) if 4 <= d < n else 0
+            if chi >= toxicity.LEAST_CHI:
+                scored.append((-chi, x if x < 2**63 else x - 2**64))
+        assert [int(x) for x in got[f].view(np.int64)] == [v - 2**64 if v >= 2**63 else v for v in sorted(x % 2**64 for _, x in sorted(scored)[:40])]
+    scored = toxicity.score_toxicity(docs, labels.where("doc_id % 3 > 0"), ["toxic"])
+    tested = scored.join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert sum(r["is_toxic"] == (r["toxic"] == 1) for r in tested) >= 0.95 * len(tested)
+    again = toxicity.score_toxicity(docs.repartition(7), labels.where("doc_id % 3 > 0"), ["toxic"], sample=100)
+    once = {r["doc_id"]: r["p_toxic"] for r in toxicity.score_toxicity(docs.coalesce(1), labels.where("doc_id % 3 > 0"), ["toxic"], sample=100).collect()}
+    assert {r["doc_id"]: r["p_toxic"] for r in again.collect()} == once  # the fit rows do not depend on the partitioning
+
+
 def score_of(model, emission, path):
     return model.first[path[0]] + emission[0][path[0]] + sum(model.step[a, b] + emission[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False)))
 
