@@ -139,28 +139,29 @@ FROM d LEFT JOIN words USING (id) LEFT JOIN items USING (id)"""
 
 
 def _op2_sql() -> str:
-    from sightline.llm.quality import CAPITALS, FENCES, MARKS, MIN_GROUP, REACH, SYMBOLS
+    from sightline.llm.quality import CAPITALS, MARKS, METRICS, PRIOR, REACH, SIGMAS, SPREAD, SYMBOLS
 
-    count = lambda c: f"(length(text)-length(translate(text,'{c}','')))::BIGINT"
-    shares = {"symbols": "1000*n_symbols//greatest(word_chars,1)", "dup_lines": "1000*n_dup_lines//greatest(n_lines,1)", "repeats": "1000*n_repeat_words//greatest(n_words,1)", "capitals": "1000*n_capitals//greatest(word_chars,1)", "marks": "1000*n_marks//greatest(word_chars,1)"}
-    names, values = ",".join(f"'{m}'" for m in FENCES), ",".join(shares[m] for m in FENCES)
+    count = lambda c: f"length(regexp_replace(text,'[^{c}]+','','g'))::BIGINT"
+    names = ",".join(f"'{m}'" for m in METRICS)
+    rates = ",".join(f"1000*{k}//greatest({n},1)" for k, n, _ in METRICS.values())
+    bounds = ",".join(f"floor(1000::DOUBLE*({k}-{SIGMAS}::DOUBLE*sqrt(({k}*{u})::DOUBLE))/greatest({n},1))::BIGINT" for k, n, u in METRICS.values())
 
-    def fence(keys: str) -> str:
+    def quartiles(keys: str) -> str:
         by = f"{keys}, metric" if keys else "metric"
-        return f"""(SELECT {by}, max(docs) AS docs, min(bucket) FILTER (upto*4>=docs) AS lo, min(bucket) FILTER (upto*4>=docs*3) AS hi FROM (
+        return f"""(SELECT {by}, max(docs) AS docs, min(bucket) FILTER (upto*4>=docs) AS lo, min(bucket) FILTER (upto*4>=docs*2) AS mid FROM (
         SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by})"""
 
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in FENCES.items()) + " END"
-    limit = f"CASE WHEN o.docs>={MIN_GROUP} THEN o.hi+{REACH}*(o.hi-o.lo) WHEN l.docs>={MIN_GROUP} THEN l.hi+{REACH}*(l.hi-l.lo) ELSE a.hi+{REACH}*(a.hi-a.lo) END + {slack}"
+    mixed = lambda c: f"((o.docs*o.{c} + {PRIOR}*((l.docs*l.{c} + {PRIOR}*a.{c})//(l.docs+{PRIOR})))//(o.docs+{PRIOR}))"
     return rf"""WITH t AS (SELECT doc_id, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text,'{_WORD}') AS ws, list_filter(string_split(text,chr(10)), lambda x: regexp_matches(x,'[^\x20\x09-\x0D]')) AS ls FROM t),
 g AS (SELECT doc_id, i, ws[i]||' '||ws[i+1]||' '||ws[i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1,len(ws)-1)) AS i FROM w)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i,i+1,i+2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c>1) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws,''))::BIGINT AS word_chars, {count(SYMBOLS)} AS n_symbols, {count(CAPITALS)} AS n_capitals, {count(MARKS)} AS n_marks,
   len(ls)::BIGINT AS n_lines, (len(ls)-len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n,0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
-v AS (SELECT doc_id, lang, source, unnest([{names}]) AS metric, unnest([{values}]) AS v FROM m),
+v AS (SELECT doc_id, lang, source, unnest([{names}]) AS metric, unnest([{rates}]) AS v, unnest([{bounds}]) AS b FROM m),
 sk AS (SELECT lang, source, metric, v-v%(1<<greatest(length(bin(v))-5,0)) AS bucket, count(*) AS n FROM v GROUP BY ALL),
-bad AS (SELECT doc_id, bool_or(v>{limit}) AS bad FROM v JOIN {fence('lang, source')} o USING (lang, source, metric) JOIN {fence('lang')} l USING (lang, metric) JOIN {fence('')} a USING (metric) GROUP BY doc_id)
+f AS (SELECT o.lang, o.source, o.metric, {mixed('lo')} AS lo, {mixed('mid')} AS mid FROM {quartiles('lang, source')} o JOIN {quartiles('lang')} l USING (lang, metric) JOIN {quartiles('')} a USING (metric)),
+bad AS (SELECT doc_id, bool_or(b>mid+{REACH}*greatest(mid-lo,{SPREAD})) AS bad FROM v JOIN f USING (lang, source, metric) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed, NOT (n_words<50 OR 100*n_repeat_words>50*n_words) AND NOT bad AS kept FROM m JOIN bad USING (doc_id)"""
 
 
