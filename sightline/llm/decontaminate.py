@@ -6,14 +6,14 @@ equal windows keep the same one, so every shared window is found.  Document wind
 kept hash is also a benchmark fingerprint are then extended to the whole window, which
 is looked up by a 128-bit hash of its words.
 
-The benchmark is a query set.  It is dealt into blocks of a bounded number of text bytes;
-each block is broadcast and met by one pass over the documents, without a shuffle.
+The benchmark is a query set, and the documents are read once, whatever its size.  Up to a bounded
+number of text bytes it is broadcast whole, and nothing is shuffled.  Beyond that only a bit table of its
+fingerprints, of fixed size, is broadcast; document windows whose kept hash may be one of them
+are joined with the benchmark's windows by shuffle.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import NON_ALNUM, U64, Words, expand_ranges, gram_hashes, materialize, mix64, sliding_min, text_slices, utf8_buffers
 
-#: Most bytes of benchmark text that one broadcast block holds.
+#: Most bytes of benchmark text that are broadcast.
 BLOCK_BYTES = 8 << 20
+#: Bits of the table of fingerprints that is broadcast beyond that, as a power of two, and of its segments.
+TABLE_BITS, SEGMENT_BITS = 26, 16
+#: Most contaminated rows that are broadcast to remove them.
+MAX_BROADCAST_ROWS = 400_000
 _BASES = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 
 
@@ -118,20 +122,121 @@ class Block:
         return np.cumsum(cover[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, span: int, block_bytes: int):
-    """Broadcast blocks of the benchmark, one by one."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    items = items.where("item is not null and text is not null").dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for b in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        table = own.toArrow()
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        if isinstance(texts, pa.ChunkedArray):
-            texts = pa.concat_arrays(texts.chunks)
-        block = Block(table.column("item").to_pylist(), texts, span)
-        yield b == n - 1, benchmark.sparkSession.sparkContext.broadcast(block)
+    return items.where("item is not null and text is not null").dropDuplicates()
+
+
+def _is_small(items: DataFrame, most: int) -> bool:
+    return (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= most
+
+
+def _broadcast(items: DataFrame, span: int):
+    """The whole benchmark as one broadcast index."""
+    table = items.toArrow()
+    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks)
+    return items.sparkSession.sparkContext.broadcast(Block(table.column("item").to_pylist(), texts, span))
+
+
+# -- a benchmark of any size ----------------------------------------------------
+
+
+def _bit_of(fingerprints: np.ndarray, size: int) -> np.ndarray:
+    """Place of a fingerprint in the bit table."""
+    with np.errstate(over="ignore"):
+        return (mix64(fingerprints + U64(size)) >> U64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _bench_windows(items: DataFrame, span: int) -> DataFrame:
+    """``size, kept, one, two, item``: every window of the benchmark."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, 1, 2 << 20):
+                words = Words(*utf8_buffers(part.column(1)), NON_ALNUM)
+                counts = np.diff(words.first)
+                for size in sorted({int(min(c, span)) for c in counts if c}):
+                    held = np.flatnonzero(counts >= span if size == span else counts == size)
+                    many = counts[held] - size + 1
+                    starts = expand_ranges(words.first[held], many)
+                    kept = _fingerprints(words.hashes, size)[starts]
+                    hashes = [_window_hash(words.hashes, starts, size, b) for b in _BASES]
+                    columns = [pa.array(np.full(len(starts), size, np.int32)), *[pa.array(h.view(np.int64)) for h in (kept, *hashes)]]
+                    yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(np.repeat(held, many)))], ["size", "kept", "one", "two", "item"])
+
+    return items.mapInArrow(run, "size int, kept long, one long, two long, item string").distinct()
+
+
+def _bit_table(windows: DataFrame):
+    """Broadcast table of 2**TABLE_BITS bits: which fingerprints the benchmark may have."""
+    per = 1 << SEGMENT_BITS
+
+    def mark(batches):
+        found = []
+        for batch in batches:
+            sizes, kept = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
+            found += [np.unique(_bit_of(kept[sizes == s], int(s))) for s in np.unique(sizes)]
+        places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        for segment in np.unique(places // per):
+            bits = np.zeros(per, bool)
+            bits[places[places // per == segment] % per] = True
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["segment", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        every = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([every.tobytes()], pa.binary())})
+
+    marked = windows.select("size", "kept").mapInArrow(mark, "segment long, bits binary")
+    table = np.zeros(1 << TABLE_BITS, bool)
+    for segment, bits in marked.groupBy("segment").applyInArrow(merge, "segment long, bits binary").collect():
+        table[segment * per : (segment + 1) * per] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return windows.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+
+def _candidates(docs: DataFrame, text: str, windows: DataFrame, keep_text: bool) -> DataFrame:
+    """``docs`` plus ``row, n_words, found``: the windows (size, start, one, two) that pass the bit table."""
+    shared, sizes = _bit_table(windows), sorted(r[0] for r in windows.select("size").distinct().collect())
+    names = docs.columns
+    at = names.index(text)
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("start", pa.int64()), ("one", pa.int64()), ("two", pa.int64())]))
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            for part in text_slices(batch, at, 2 << 20):
+                words = Words(*utf8_buffers(part.column(at)), NON_ALNUM)
+                found = []
+                for size in sizes:
+                    if len(words.hashes) < size:
+                        continue
+                    kept = _fingerprints(words.hashes, size)
+                    place = _bit_of(kept, size)
+                    starts = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+                    row = np.searchsorted(words.first, starts, side="right") - 1
+                    inside = starts + size <= words.first[row + 1]
+                    starts, row = starts[inside], row[inside]
+                    hashes = [_window_hash(words.hashes, starts, size, b).view(np.int64) for b in _BASES]
+                    found.append(np.stack([row, np.full(len(starts), size), starts - words.first[row], *hashes]))
+                table = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+                table = table[:, np.argsort(table[0], kind="stable")]
+                cuts = pa.array(np.searchsorted(table[0], np.arange(part.num_rows + 1)).astype(np.int32))
+                struct = pa.StructArray.from_arrays([pa.array(table[1].astype(np.int32)), *[pa.array(c) for c in table[2:]]], fields=list(kind.value_type))
+                columns = [c for i, c in enumerate(part.columns) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.first), pa.int64()), pa.ListArray.from_arrays(cuts, struct)], out)
+
+    out = [*[n for n in names if keep_text or n != text], "n_words", "found"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != text)
+    signed = docs.mapInArrow(run, f"{schema}, n_words long, found array<struct<size:int,start:long,one:long,two:long>>")
+    return materialize(signed.withColumn("row", F.monotonically_increasing_id()), "decontamination")
+
+
+def _hits(signed: DataFrame, windows: DataFrame) -> DataFrame:
+    """``row, size, start, one, two`` of the document windows that the benchmark has."""
+    found = materialize(signed.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*"), "candidates")
+    keys = materialize(windows.select("size", "one", "two").distinct(), "windows")
+    return materialize(found.join(keys, ["size", "one", "two"], "left_semi"), "hits")
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -157,38 +262,50 @@ def find_contamination(
     no words and no hits; items without id or text are skipped; repeated rows each give
     a row; other columns are ignored; either table may be empty.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    state = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
+    mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = mine.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for last, shared in _blocks(benchmark, item_col, item_text_col, span, block_bytes):
+    names = ["doc_id", "n_words", "spans", "items"]
+    schema = f"doc_id {id_type}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    items = _items(benchmark, item_col, item_text_col)
+    if _is_small(items, block_bytes):
+        shared = _broadcast(items, span)
 
-        def match(batches, last=last, shared=shared):
+        def match(batches):
             for batch in batches:
                 for part in text_slices(batch, 1, 2 << 20):
                     words = Words(*utf8_buffers(part.column(1)), NON_ALNUM)
                     hit, found = shared.value.match(words)
-                    spans, items = part.column(3).to_pylist(), part.column(4).to_pylist()
-                    for row, names in found.items():
-                        flags = hit[words.first[row] : words.first[row + 1]].copy()
-                        for s in spans[row]:
-                            flags[s["start"] : s["end"]] = True
-                        spans[row] = [{"start": a, "end": b} for a, b in _runs(flags)]
-                        items[row] = sorted(names | set(items[row]))
-                    columns = [part.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))]
-                    names = ["doc_id", "n_words", "spans", "items"]
-                    if not last:
-                        columns.insert(1, part.column(1))
-                        names.insert(1, "text")
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-        text = "" if last else "text string, "
-        state = state.mapInArrow(match, f"doc_id {id_type}, {text}n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-        if not last:
-            state = materialize(state, "decontamination")
-    return state
+                    spans, held = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+                    for row, own in found.items():
+                        spans[row] = [{"start": a, "end": b} for a, b in _runs(hit[words.first[row] : words.first[row + 1]])]
+                        held[row] = sorted(own)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, span_type), pa.array(held, pa.list_(pa.string()))], names)
+
+        return mine.mapInArrow(match, schema)
+    windows = materialize(_bench_windows(items, span), "windows")
+    signed = _candidates(mine, "text", windows, False)
+    hits = _hits(signed, windows)
+    places = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("places"))
+    held = hits.select("row", "size", "one", "two").distinct().join(windows.select("size", "one", "two", "item"), ["size", "one", "two"])
+    held = held.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+    def join_spans(batches):
+        for batch in batches:
+            spans = []
+            for listed in batch.column(2).to_pylist():
+                runs: list[dict] = []
+                for p in listed or ():
+                    if runs and p["start"] <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], p["end"])
+                    else:
+                        runs.append(p)
+                spans.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), batch.column(3)], names)
+
+    joined = signed.select("row", "doc_id", "n_words").join(places, "row", "left").join(held, "row", "left")
+    none = F.expr("cast(array() as array<string>)")
+    return joined.select("doc_id", "n_words", "places", F.coalesce("items", none).alias("items")).mapInArrow(join_spans, schema)
 
 
 def remove_contaminated(
@@ -203,12 +320,15 @@ def remove_contaminated(
 ) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns as they are.
 
-    Rows with null or empty text stay.
+    Rows with null or empty text stay, repeated rows are judged each; items without id or text are
+    skipped; columns may carry any names; either table may be empty.
     """
     at = docs.columns.index(text_col)
-    for last, shared in _blocks(benchmark, item_col, item_text_col, span, block_bytes):
+    items = _items(benchmark, item_col, item_text_col)
+    if _is_small(items, block_bytes):
+        shared = _broadcast(items, span)
 
-        def clean(batches, shared=shared):
+        def clean(batches):
             for batch in batches:
                 for part in text_slices(batch, at, 2 << 20):
                     _, found = shared.value.match(Words(*utf8_buffers(part.column(at)), NON_ALNUM))
@@ -216,7 +336,11 @@ def remove_contaminated(
                     keep[list(found)] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-        if not last:
-            docs = materialize(docs, "decontamination")
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+    private = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    windows = materialize(_bench_windows(items, span), "windows")
+    signed = _candidates(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in private.items()]), private[text_col], windows, True)
+    gone = materialize(_hits(signed, windows).select("row").distinct(), "gone")
+    if gone.count() <= MAX_BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return signed.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for c, n in private.items()])
