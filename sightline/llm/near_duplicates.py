@@ -8,9 +8,9 @@
 * Bands of registers deal classes into buckets.  Every class of a bucket is compared with
   the bucket's least one, then those outside its largest component with one class inside.
   Classes that are still outside are compared with all classes of other components of
-  their buckets, in blocks of bounded size that yield links only.  So no pair of a bucket
-  is left out that could join two components, and no pairs are listed for a bucket of
-  many copies.
+  their buckets, on their full sets, in blocks of bounded size that yield one confirmed link
+  from a class to a component.  So no pair of a bucket is left out that could join two
+  components, and no pairs are listed for a bucket of many copies.
 * A candidate pair's similarity is estimated jointly from both sketches by maximum
   likelihood; pairs for which the threshold is out of reach (a likelihood ratio below
   e**-24) are dropped, all others are confirmed on their full sets.
@@ -158,6 +158,12 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "band long, node long")
 
 
+def _small(table: DataFrame, name: str, most: int) -> DataFrame:
+    """``table``, written; marked for broadcast if it has at most ``most`` rows, so that the other side stays where it is."""
+    table = materialize(table, name)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _restrict(table: DataFrame, keys: DataFrame, on: str, most: int) -> DataFrame:
     """Rows of ``table`` whose ``on`` is in ``keys``: by broadcast while ``keys`` is small, else by shuffle."""
     if keys.count() <= most:
@@ -196,20 +202,21 @@ def _confirm(pairs: DataFrame, sets: DataFrame, size: int, percent: int, most: i
     return joined.select("src", "dst", "text_a", "text_b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "src long, dst long")
 
 
-def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, components: DataFrame, most: int) -> DataFrame:
     """``band, node, component, major``: members of the buckets that hold several components, and each one's largest."""
-    named = members.join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    named = members.join(_small(components, "components", most), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     counted = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     major = counted.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", -F.col("component"))).alias("m")).where("parts > 1")
-    return materialize(named.join(major.select("band", (-F.col("m.col2")).alias("major")), "band"), "mixed")
+    major = _small(major.select("band", (-F.col("m.col2")).alias("major")), "major", most)
+    return materialize(named.join(major, "band"), "mixed")
 
 
 def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """Pairs (``src, dst``) that link classes outside their bucket's largest component to other components.
+    """Links (``src, dst``) of classes outside their bucket's largest component to other components.
 
-    Blocks of bounded size count common shingles exactly (by 32 bits of their hashes, so
-    never too few); of the links from a class to a component the two closest are returned.
+    Blocks of bounded size count the common shingles of full sets; of the links from a class to a
+    component, which all join the same two, the closest is returned.
     """
     needed = materialize(mixed.select("node").distinct(), "needed")
 
@@ -217,8 +224,7 @@ def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: in
         for batch in batches:
             for part in text_slices(batch, 1, 2 << 20):
                 values, offsets = shingle_sets(part.column(1), size)
-                low = np.ascontiguousarray(values.astype(np.uint32))
-                held = [low[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                held = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(held, pa.binary())], ["node", "n", "held"])
 
     held = _restrict(sets, needed, "node", most).select("node", "text").mapInArrow(shingles, "node long, n long, held binary")
@@ -226,7 +232,7 @@ def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: in
     sized = mixed.join(held.select("node", "n"), "node").withColumn("rest", F.col("component") != F.col("major"))
     parts = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
     totals = sized.groupBy("band").agg(parts(F.sum("n")).alias("parts"), parts(F.sum(F.when(F.col("rest"), F.col("n")))).alias("rest_parts"))
-    placed = sized.join(totals, "band")
+    placed = sized.join(_small(totals, "totals", most), "band")
     own, rest_own = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "rest_parts").cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = placed.select("band", own.alias("part"), every("rest_parts").alias("rest_part"), "node", "component", F.lit(False).alias("rest"))
@@ -236,7 +242,7 @@ def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: in
     def compare(table: pa.Table) -> pa.Table:
         rest = table.column("rest").to_numpy(zero_copy_only=False)
         node, component, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-        sets = [np.frombuffer(h, np.uint32) for h in table.column("held").to_pylist()]
+        sets = [np.frombuffer(h, U64) for h in table.column("held").to_pylist()]
         inside, outside = np.flatnonzero(~rest), np.flatnonzero(rest)
         src, dst = [], []
         if len(inside) and len(outside):
@@ -252,8 +258,7 @@ def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: in
                 if len(near):
                     near = near[np.lexsort((-both[near] / (n[inside][near] + n[i] - both[near]), component[inside][near]))]
                     first = np.flatnonzero(np.append(True, np.diff(component[inside][near]) != 0))
-                    rank = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
-                    for m in node[inside][near[rank < 2]]:
+                    for m in node[inside][near[first]]:
                         src.append(min(node[i], m))
                         dst.append(max(node[i], m))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
@@ -264,13 +269,13 @@ def _across(mixed: DataFrame, sets: DataFrame, size: int, percent: int, most: in
 def _link_across(mixed: DataFrame, links: DataFrame, tested: DataFrame, sets: DataFrame, size: int, percent: int, most: int) -> DataFrame:
     """Components after the buckets of ``mixed`` were compared across their components."""
     inside = F.when(F.col("component") == F.col("major"), F.struct(F.xxhash64("node").alias("h"), "node"))
-    heads = mixed.groupBy("band").agg(F.min(inside)["node"].alias("leader"))
+    heads = _small(mixed.groupBy("band").agg(F.min(inside)["node"].alias("leader")), "heads", most)
     pairs = mixed.where("component <> major").join(heads, "band").select(F.least("leader", "node").alias("src"), F.greatest("leader", "node").alias("dst")).distinct()
     pairs = materialize(pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
     links = materialize(links.union(_confirm(pairs, sets, size, percent, most)), "links")
     second = materialize(connected_components(links), "components")
-    mixed = _mixed(mixed.select("band", "node"), second)
-    more = materialize(_confirm(materialize(_across(mixed, sets, size, percent, most), "pairs"), sets, size, percent, most), "links")
+    mixed = _mixed(mixed.select("band", "node"), second, most)
+    more = materialize(_across(mixed, sets, size, percent, most), "links")
     return second if more.isEmpty() else materialize(connected_components(links.union(more)), "components")
 
 
@@ -283,13 +288,13 @@ def _group(docs: DataFrame, size: int, percent: int, most: int) -> tuple[DataFra
     standing = signed.select(F.col("row").alias("node"), "regs").join(classes.select("node"), "node", "left_semi")
     bands = materialize(_bands(standing), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
-    member = materialize(bands.join(buckets, "band"), "buckets")
+    member = materialize(bands.join(_small(buckets, "heads", most), "band"), "buckets")
     pairs = member.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
     links = materialize(_confirm(materialize(pairs, "pairs"), sets, size, percent, most), "links")
     first = materialize(connected_components(links), "components")
     # buckets of three or more whose classes are in several components
     components = first
-    mixed = _mixed(member.where("members > 2").select("band", "node"), first)
+    mixed = _mixed(member.where("members > 2").select("band", "node"), first, most)
     if not mixed.isEmpty():
         components = _link_across(mixed, links, pairs, sets, size, percent, most)
     labelled = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -332,7 +337,8 @@ def remove_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns as they are.
 
-    The row with the smallest id stays (of several, any one).  Rows without shingles stay.
+    The row with the smallest id stays (of several, any one; a null id only where there is no other).
+    Rows without shingles (null or empty text) stay.  An empty table gives an empty result.
     """
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
     mine = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if c not in (id_col, text_col)], F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
