@@ -12,6 +12,7 @@ it is collected or broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -30,8 +31,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _MARK = re.compile(r"[0-9@]")
 _REST = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+_WORDS = re.compile(r"\S+")
+# groups of digits, as in numbers written with spaces, dots, dashes or brackets
+_GROUPS = re.compile(r"[0-9]+(?:[\x20().-]{1,2}[0-9]+)++")
 _BEFORE, _AFTER = "([{<\"'`*#$%&,;:=", ".,;:!?)]}>\"'`*#$%&"
-_CONTEXT_CHARS = 96
+#: Longer names and words are known by a hash.
+_HASHED = 64
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +81,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside ``taken``: with four digits or an @, stripped of marks around."""
+    """Identifier-like tokens outside ``taken``: with four digits or an @, stripped of marks around.
+
+    A token of five characters or more counts, and so does a number in several groups with seven digits or more.
+    """
     out, done, i = [], 0, 0
     spans = sorted((s, e) for s, _, e in taken)
     mark = _MARK.search(text)
@@ -85,30 +93,53 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         while start > done and not text[start - 1].isspace():
             start -= 1
         end = done = _REST.match(text, mark.start()).end()
+        groups = _GROUPS.match(text, mark.start())
+        if groups and groups.end() >= end and sum(c.isdigit() for c in groups[0]) >= 7:
+            end, done = groups.end(), _REST.match(text, groups.end() - 1).end()
         while start < end and text[start] in _BEFORE:
             start += 1
         while end > start and text[end - 1] in _AFTER:
             end -= 1
-        if 5 <= end - start <= 200:
-            token = text[start:end]
+        if end - start >= 5:
             while i < len(spans) and spans[i][1] <= start:
                 i += 1
-            clear = not any(s < end and start < e for s, e in spans[i : i + 8])
+            j = i
+            while j < len(spans) and spans[j][0] < end and spans[j][1] <= start:
+                j += 1
+            clear = j == len(spans) or spans[j][0] >= end
+            token = text[start:end]
             if clear and (len(_DIGIT.findall(token)) >= 4 or "@" in token[1:-1]):
                 out.append((start, end))
         mark = _MARK.search(text, done)
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical contexts of a token: the two words before it, and a word before it that ends as a label."""
-    words = text[max(0, start - _CONTEXT_CHARS) : start].rpartition("\n")[2].split()
-    words = [_DIGIT.sub("0", w.lower().rstrip("\"'([{<")) for w in words[-2:]]
-    out = []
-    if len(words) == 2 and all(0 < len(w) <= 32 for w in words):
-        out.append(" ".join(words))
-    if words and 1 < len(words[-1]) <= 32 and words[-1][-1] in ":=#":
-        out.append(words[-1])
+def _known_as(name: str) -> str:
+    return name if len(name) <= _HASHED else hashlib.sha256(name.encode()).hexdigest()
+
+
+def contexts(text: str, starts: list[int]) -> list[list[str]]:
+    """Lexical contexts of places (ascending): the two words before each on its line, and a word before it that
+    ends as a label.  The text is split once, up to the last place."""
+    out: list[list[str]] = []
+    at, words = 0, []  # words of this line before `at`, the last two
+    for start in starts:
+        line = text.rfind("\n", at, start)
+        if line >= 0:
+            at, words = line + 1, []
+        found = _WORDS.findall(text, at, start)
+        before = words[-2:] + found[-2:]
+        # a word that goes on behind `start` stays to be read again
+        open_ = bool(found) and not text[start - 1].isspace()
+        words = (words + (found[:-1] if open_ else found))[-2:]
+        at = start - len(found[-1]) if open_ else start
+        before = [_DIGIT.sub("0", w.lower().rstrip("\"'([{<")) for w in before[-2:]]
+        own = []
+        if len(before) == 2 and all(before):
+            own.append(" ".join(map(_known_as, before)))
+        if before and len(before[-1]) > 1 and before[-1][-1] in ":=#":
+            own.append(_known_as(before[-1]))
+        out.append(own)
     return out
 
 
@@ -132,7 +163,9 @@ def scan(docs: DataFrame, text_col: str) -> DataFrame:
                     if text and _MARK.search(text):
                         own = base_spans(text)
                         places = [(s, e, k) for s, k, e in own] + [(s, e, -1) for s, e in identifiers(text, own)]
-                        seen = [{"start": s, "end": e, "kind": k, "name": text[s:e].lower(), "context": c} for s, e, k in places for c in contexts(text, s)]
+                        places.sort()
+                        found = contexts(text, [p[0] for p in places])
+                        seen = [{"start": s, "end": e, "kind": k, "name": _known_as(text[s:e].lower()), "context": c} for (s, e, k), own in zip(places, found, strict=True) for c in own]
                     spans.append([{"start": s, "kind": k, "end": e} for s, k, e in own])
                     mentions.append(seen)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, span_type), pa.array(mentions, mention_type)], [*columns, "spans", "mentions"])
@@ -197,7 +230,8 @@ def span_digest(spans):
 def redact_pii(docs: DataFrame, *, text_col: str = "text", rounds: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by its kind in angle brackets, as ``<EMAIL>``.
 
-    Overlapping spans are replaced together, by the first one's kind.  Null text stays null.
+    Overlapping spans are replaced together, by the first one's kind.  Null text stays null, empty text
+    empty; repeated rows each give a row; columns may carry any names; an empty table gives an empty result.
     """
     found, names = _found(docs, text_col, rounds, support, confidence, True)
     found = found.select(*names.values(), F.array_sort(F.concat("spans", "added")).alias("spans"))

@@ -384,6 +384,25 @@ def test_base_spans():
     assert base_spans("9" * 200_000 + "@") == []
 
 
+def test_contexts_of_places():
+    """The words before every place, against splitting the text anew for each; no length is too long."""
+    from sightline.llm.pii import contexts, identifiers
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["ab", "c:", "12", " ", " ", "\n", "(", "x=", "w" * 70]) for _ in range(rng.randint(1, 30)))
+        starts = sorted(rng.randint(0, len(text)) for _ in range(4))
+        for start, got in zip(starts, contexts(text, starts), strict=True):
+            words = [re.sub("[0-9]", "0", w.lower().rstrip("\"'([{<")) for w in text[:start].rpartition("\n")[2].split()[-2:]]
+            names = [w if len(w) <= 64 else hashlib.sha256(w.encode()).hexdigest() for w in words]
+            expected = [" ".join(names)] if len(words) == 2 and all(words) else []
+            assert got == expected + ([names[-1]] if words and len(words[-1]) > 1 and words[-1][-1] in ":=#" else [])
+    assert identifiers("call (555) 123 4567 now 12-34 or x1234y", []) == [(6, 19), (24, 29), (33, 39)]
+    assert identifiers("k" * 500 + "1234", []) == [(0, 504)]
+    nested = [(0, 0, 50), (5, 0, 8)] + [(60 + i, 0, 61 + i) for i in range(20)]
+    assert identifiers("a" * 20 + " 123456 " + "b" * 60, nested) == []
+
+
 def brute_contexts(mentions, rounds, support, confidence):
     edges = {(c, n) for c, n, _ in mentions}
     names = Counter(c for c, _ in edges)
