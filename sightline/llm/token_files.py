@@ -24,17 +24,19 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.bpe import load
-from sightline.llm.common import text_slices
+from sightline.llm.common import materialize, text_slices
 
 MAGIC = b"TOKIDS01"
 _ENTRY = struct.Struct("<QIIi")
 _FOOTER = struct.Struct("<QQ8s")
 #: Bound of the dictionary's training sample.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 2048, 65_536
+#: Most tasks that read a folder.
+MOST_READERS = 10_000
 
 
 def filesystem(uri: str):
@@ -134,7 +136,7 @@ class ShardReader:
 
 
 def _sample(docs: DataFrame, tokenizer_path: str) -> list[bytes]:
-    """Serialized ids of a bounded sample: the documents with the smallest key hashes.
+    """Serialized ids of a bounded sample: ranges, from anywhere in them, of the documents with the smallest key hashes.
 
     A cut on the hash leaves about four times as many rows as needed before the rest is ranked.
     """
@@ -146,10 +148,14 @@ def _sample(docs: DataFrame, tokenizer_path: str) -> list[bytes]:
     def encode(batches):
         bpe = load(tokenizer_path)
         for batch in batches:
-            ids = [bpe.encode(t or "")[:SAMPLE_IDS].astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
+            ids = []
+            for text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = bpe.encode(text or "").astype("<u4")
+                start = place % max(1, len(own) - SAMPLE_IDS + 1)
+                ids.append(own[start : start + SAMPLE_IDS].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    return [bytes(r[0]) for r in picked.select("text").mapInArrow(encode, "ids binary").collect()]
+    return [bytes(r[0]) for r in picked.select("text", place.alias("place")).mapInArrow(encode, "ids binary").collect()]
 
 
 def write_token_files(
@@ -199,21 +205,21 @@ def write_token_files(
                         writer = None
         if writer is not None:
             finish()
-        if made:
+        if made:  # the manifest's rows: written by the tasks, never gathered
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], ["part", "shard", "path", "docs", "ids"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    made = placed.select(F.col("doc_id").cast("string"), "text").mapInArrow(write, "part int, shard int, path string, docs long, ids long").collect()
-    rows, before = [], 0
-    for r in sorted(made, key=lambda r: (r["part"], r["shard"])):
-        rows.append((r["path"], r["docs"], r["ids"], before))
-        before += r["ids"]
-    manifest = spark.createDataFrame(rows, "path string, docs long, ids long, before long")
+    made = placed.select(F.col("doc_id").cast("string"), "text").mapInArrow(write, "part int, shard int, path string, docs long, ids long")
+    made = materialize(made, "shards")
+    earlier = lambda w, order: F.coalesce(F.sum("ids").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = made.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(Window.partitionBy(F.lit(0)), "part").alias("part_before"))  # a row a task
+    inside = made.select("part", "path", "docs", "ids", earlier(Window.partitionBy("part"), "shard").alias("own_before"))
+    manifest = inside.join(parts, "part").select("path", "docs", "ids", (F.col("own_before") + F.col("part_before")).alias("before"))
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return manifest
+    return spark.read.schema("path string, docs long, ids long, before long").parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
@@ -222,7 +228,7 @@ def read_token_files(spark: SparkSession, folder: str, id_type: str = "long") ->
     ``start`` is the number of ids of all documents before.
     """
     manifest = spark.read.schema("path string, docs long, ids long, before long").parquet(f"{folder}/manifest")
-    shards = max(1, manifest.count())
+    shards = min(MOST_READERS, max(1, manifest.count()))
 
     def read(batches):
         fs, base = filesystem(folder)
