@@ -25,11 +25,13 @@ _LOCAL_SHARED = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks on one machine) a local
-    default is set.
+    Only a session that runs on one machine (tests, notebooks) gets a default where it names
+    none; on a cluster a local folder would lose rows, so there it must be named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{_LOCAL_SHARED}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
