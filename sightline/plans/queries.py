@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import scalars as S
 from sightline.operators import checks, compose, grids, kernels, rays, sampling, summaries, surfaces
 from sightline.plans import domain as D
+from sightline.plans import sight_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,7 +668,7 @@ def stable_seed(spark, d):
     return s.select("s_suppkey", sampling.stable_seed(42, F.concat(F.lit("S"), F.col("s_suppkey")), F.lit("p")).alias("seed"))
 
 
-@query()
+@query(Q.PICKS_SQL, with_=Q.DESIGN_SQL, doubles="x y")
 def maximin_design(spark, d):
     s = D.table(spark, d, "supplier")
     k = F.col("s_suppkey").cast("double")
@@ -760,19 +761,19 @@ def _scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _GEOMETRY = {"x0": 0.0, "y0": 0.0, "pixel": 10.0, "target_height": 1.5, "curve": S.CURVATURE / (2 * S.EARTH_RADIUS_M)}
 
 
-@query()
+@query(Q.DIRECT_SQL, with_=Q.SCENE_SQL)
 def direct_visibility(spark, d):
     r, raster = _scene(spark, d)
     return rays.direct_visibility(r, raster, radius=350.0, **_GEOMETRY)
 
 
-@query()
+@query(Q.ENVELOPE_SQL, with_=Q.SCENE_SQL)
 def envelope_visibility(spark, d):
     r, raster = _scene(spark, d)
     return rays.envelope_visibility(r, raster.withColumns({"floor": F.lit(0.0), "ceiling": F.col("lower")}), radius=350.0, **_GEOMETRY)
 
 
-@query()
+@query(Q.TRANSMISSION_SQL, with_=Q.SCENE_SQL, doubles="value")
 def canopy_transmission(spark, d):
     r, raster = _scene(spark, d)
     score, missing = S.class_obstruction(F.col("canopy"), F.col("landcover"))
@@ -780,7 +781,7 @@ def canopy_transmission(spark, d):
     return rays.classified_support(rays.canopy_depth(r, raster, **_GEOMETRY))
 
 
-@query()
+@query(Q.HORIZON_STATES_SQL, with_="RECURSIVE " + Q.HORIZON_SQL)
 def partial_canopy_visibility(spark, d):
     p = D.pixels(spark, d)
     size = D.table(spark, d, "part").count() // 50
