@@ -1,7 +1,7 @@
 """Cell grids and pair lookups.
 
 :class:`SquareGrid` works in column expressions: cells are squares of a fixed edge in degrees, ids
-are strings, disks are exploded sequences.  Any grid with the same methods fits the lookup.
+are strings, disks are exploded sequences.  :class:`HexGrid` does the same with hexagons of equal area.
 """
 
 from __future__ import annotations
@@ -86,6 +86,78 @@ class SquareGrid:
         return F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0))
 
 
+@dataclass(frozen=True)
+class HexGrid:
+    """Hexagonal cells with corners to the north and sides of ``edge`` kilometres on an equal-area plane.
+
+    The plane is the cylinder's (kilometres along the equator; earth radius times the sine of the
+    latitude), so all cells have one area; they do not wrap at 180 degrees.  Ids are ``q_r`` in
+    axial coordinates.
+    """
+
+    edge: float = 10.0
+
+    def plane(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        radius = F.lit(HAVERSINE_RADIUS_KM)
+        return radius * F.radians(lon), radius * F.sin(F.radians(lat))
+
+    def axial(self, cell: Column) -> tuple[Column, Column]:
+        parts = F.split(cell, "_")
+        return parts[0].cast("long"), parts[1].cast("long")
+
+    def name(self, q: Column, r: Column) -> Column:
+        return F.concat_ws("_", q.cast("string"), r.cast("string"))
+
+    def cell(self, lat: Column, lon: Column) -> Column:
+        """The cell of a point, by rounding its three cube coordinates."""
+        x, y = self.plane(lat, lon)
+        size = F.lit(self.edge)
+        q, r = (F.lit(math.sqrt(3) / 3) * x - y / 3) / size, F.lit(2 / 3) * y / size
+        s = -q - r
+        up = lambda v: F.floor(v + F.lit(0.5))
+        dq, dr, ds = (F.abs(up(v) - v) for v in (q, r, s))
+        fixed_q = F.when((dq > dr) & (dq > ds), -up(r) - up(s)).otherwise(up(q))
+        fixed_r = F.when((dq > dr) & (dq > ds), up(r)).when(dr > ds, -up(q) - up(s)).otherwise(up(r))
+        return self.name(fixed_q.cast("long"), fixed_r.cast("long"))
+
+    def _plane_center(self, cell: Column) -> tuple[Column, Column]:
+        q, r = self.axial(cell)
+        return F.lit(self.edge * math.sqrt(3)) * (q + r / F.lit(2.0)), F.lit(self.edge * 1.5) * r
+
+    def _degrees(self, x: Column, y: Column) -> tuple[Column, Column]:
+        high = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / F.lit(HAVERSINE_RADIUS_KM)))
+        return F.degrees(F.asin(high)), F.degrees(x / F.lit(HAVERSINE_RADIUS_KM))
+
+    def center(self, cell: Column) -> tuple[Column, Column]:
+        return self._degrees(*self._plane_center(cell))
+
+    def boundary(self, cell: Column) -> Column:
+        """The six corners (lat, lon), as an array of structs."""
+        x, y = self._plane_center(cell)
+        corners = []
+        for k in range(6):
+            angle = math.radians(60 * k + 30)
+            lat, lon = self._degrees(x + F.lit(self.edge * math.cos(angle)), y + F.lit(self.edge * math.sin(angle)))
+            corners.append(F.struct(lat.alias("lat"), lon.alias("lon")))
+        return F.array(*corners)
+
+    def disk(self, cell: Column, rings: int) -> Column:
+        """Array of all cells within ``rings`` steps."""
+        q, r = self.axial(cell)
+        steps = F.sequence(F.lit(-rings), F.lit(rings))
+        rows = lambda dq: F.sequence(F.greatest(F.lit(-rings), -dq - rings), F.least(F.lit(rings), -dq + rings))
+        return F.flatten(F.transform(steps, lambda dq: F.transform(rows(dq), lambda dr: self.name(q + dq, r + dr))))
+
+    def distance(self, one: Column, other: Column) -> Column:
+        """Steps between two cells."""
+        (a, b), (c, d) = self.axial(one), self.axial(other)
+        return F.greatest(F.abs(a - c), F.abs(b - d), F.abs(a + b - c - d))
+
+    def parent(self, cell: Column, factor: int) -> Column:
+        """Cell, of a grid with sides ``factor`` times as long, that holds the centre."""
+        return HexGrid(self.edge * factor).cell(*self.center(cell))
+
+
 def pair_lookup(sources: DataFrame, targets: DataFrame, grid: SquareGrid, rings: int | None, max_km: float, *, self_pairs: bool = False, by_cells: bool = False) -> DataFrame:
     """Pairs of sources and targets (``cell`` ids) within ``max_km`` of each other, through disks.
 

@@ -65,8 +65,8 @@ def metric_coverage(value: Column, applies: Column, name: str) -> list[Column]:
     ]
 
 
-def map_target_sums(edges: DataFrame) -> DataFrame:
-    """Per target: sums with coverage of distance, vegetation, terrain and static weight; missing is never zero.
+def _map_metrics(combined: str) -> list[Column]:
+    """Sums with coverage of distance, vegetation, terrain and static weight.
 
     Vegetation applies only to land pairs with terrain support.
     """
@@ -74,11 +74,35 @@ def map_target_sums(edges: DataFrame) -> DataFrame:
     exempt = F.coalesce((F.col("source_type") == "water") | (terrain == 0), F.col("source_type") == "water", F.lit(False))
     vegetation = F.when(~exempt & (terrain > 0), F.col("weight_vegetation"))
     yes = F.lit(True)
-    return edges.groupBy("target_h3").agg(
+    return [
         *metric_coverage(F.col("weight_distance"), yes, "distance_weight_sum"), *metric_coverage(vegetation, ~exempt, "vegetation_weight_sum"),
-        *metric_coverage(terrain, yes, "terrain_weight_sum"), *metric_coverage(F.col("net_static_weight"), yes, "target_static_kernel_sum"),
-        F.count("*").alias("pair_count"), F.countDistinct("source_h3").alias("candidate_source_count"),
-        F.count_if(terrain > 0).alias("terrain_visible_source_count"), F.count_if(F.col("net_static_weight") > 0).alias("combined_visible_source_count"),
+        *metric_coverage(terrain, yes, "terrain_weight_sum"), *metric_coverage(F.col("net_static_weight"), yes, combined), F.count("*").alias("pair_count"),
+    ]
+
+
+def map_target_sums(edges: DataFrame) -> DataFrame:
+    """Per target: sums with coverage; missing is never zero."""
+    return edges.groupBy("target_h3").agg(
+        *_map_metrics("target_static_kernel_sum"), F.countDistinct("source_h3").alias("candidate_source_count"),
+        F.count_if(F.col("weight_terrain") > 0).alias("terrain_visible_source_count"), F.count_if(F.col("net_static_weight") > 0).alias("combined_visible_source_count"),
+    )
+
+
+def static_map_edges(edges: DataFrame, by: str) -> DataFrame:
+    """Per source or target: sums with coverage, and pairs with terrain support."""
+    if by not in ("source_h3", "target_h3"):
+        raise ValueError("by must be source_h3 or target_h3")
+    return edges.groupBy(by).agg(*_map_metrics(f"{by[:6]}_static_kernel_sum"), F.count_if(F.col("weight_terrain") > 0).alias("terrain_supported_pair_count"))
+
+
+def dual_surface_metrics(factors: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """One row: pairs, pairs visible on either surface, pairs whose canopy support exceeds the bare one, and the largest excess."""
+    excess = F.col("weight_canopy_los_raw") - F.col("weight_terrain")
+    return factors.agg(
+        F.count("*").alias("pair_count"), F.count_if(F.col("canopy_los_fraction") > F.col("bare_los_fraction") + slack).alias("unweighted_excess_pair_count"),
+        F.count_if(excess > slack).alias("substantial_excess_pair_count"), F.count_if(F.col("weight_terrain") > 0).alias("bare_visible_pair_count"),
+        F.count_if(F.col("weight_canopy_los") > 0).alias("canopy_visible_pair_count"), F.count_if(excess > 0).alias("excess_pair_count"),
+        F.coalesce(F.max(F.greatest(excess, F.lit(0.0))), F.lit(0.0)).alias("largest_excess"),
     )
 
 

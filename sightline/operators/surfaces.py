@@ -105,3 +105,18 @@ def water_denominators(pixels: DataFrame, cell: str, area_m2: float, pixel_m2: f
     area = F.count("*") * F.lit(area_m2)
     n = F.when(area > 0, F.greatest(F.lit(1), F.bround(area / F.lit(pixel_m2), 0))).otherwise(0)
     return pixels.groupBy(cell).agg(area.alias("total_water_area_m2"), n.cast("long").alias("equivalent_water_pixel_count"))
+
+
+def smooth_inside(pixels: DataFrame, value: str, sigma: float) -> DataFrame:
+    """``row, col, value``: Gaussian mean of the pixels with a value, at the pixels with a value; what is missing has no weight.
+
+    Every pixel is sent to the pixels within three standard deviations, partial sums are added before the shuffle.
+    """
+    reach = int(3 * sigma + 0.5)
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    known = pixels.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("v"))
+    weigh = lambda d: F.exp(F.lit(-0.5) * F.col(d) * F.col(d) / F.lit(sigma * sigma))
+    sent = known.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+    sent = sent.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "v", (weigh("dr") * weigh("dc")).alias("w"))
+    sums = sent.groupBy("row", "col").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(value))
+    return sums.join(known.select("row", "col"), ["row", "col"], "left_semi")

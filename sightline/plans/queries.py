@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
 from sightline.operators import checks, compose, grids, kernels, rays, sampling, summaries, surfaces
+from sightline.plans import area_queries  # noqa: F401  (registers its queries)
 from sightline.plans import domain as D
 from sightline.plans import sight_sql as Q
+from sightline.plans.registry import ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 PAIR = D.PAIR
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six digits, ties nudged upward so that both engines agree."""
-    return df.select(*[F.round(F.col(f.name) + F.lit(1e-10), 6).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in df.schema.fields])
-
-
-def query(sql: str | None = None, *, with_: str = "", doubles: str = "", name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; its doubles (named in ``doubles`` for the SQL) are rounded on both sides."""
-
-    def register(fn: Query) -> Query:
-        key = name or fn.__name__
-        QUERIES[key] = lambda spark, folder: _rounded(fn(spark, folder))
-        if sql is not None:
-            replace = ", ".join(f"round({c}::DOUBLE+1e-10,6) AS {c}" for c in doubles.split())
-            inner = f"SELECT * REPLACE ({replace}) FROM ({sql})" if replace else sql
-            ORACLE_SQL[key] = f"WITH {with_} {inner}" if with_ else inner
-        return fn
-
-    return register
-
-
 # -- flagship ---------------------------------------------------------------
 
 
@@ -427,6 +404,18 @@ def map_target_sums(spark, d):
     return summaries.map_target_sums(D.nullable_edges(spark, d))
 
 
+_SOURCE_METRICS = {n.replace("target_", "source_"): v for n, v in _METRICS.items()}
+
+
+@query(
+    "SELECT source_h3, " + ", ".join(_coverage_sql(v, f"NOT {_EXEMPT}" if n.startswith("veg") else "true", n) for n, v in _SOURCE_METRICS.items())
+    + ", count(*) AS pair_count, count(*) FILTER (weight_terrain>0) AS terrain_supported_pair_count FROM edges GROUP BY source_h3",
+    with_=D.EDGES_SQL, doubles=" ".join(f"{n} {n}_available {n}_mean_valid {n}_coverage_fraction" for n in _SOURCE_METRICS),
+)
+def static_map_edges(spark, d):
+    return summaries.static_map_edges(D.nullable_edges(spark, d), "source_h3")
+
+
 @query(
     """SELECT target_h3, max(net_static_weight) AS maximum, count(net_static_weight) AS valid_count, count(*) AS candidate_count, count(*)-count(net_static_weight) AS missing_count,
     CASE WHEN count(net_static_weight)=0 THEN 'unavailable' WHEN count(*)>count(net_static_weight) THEN 'partial' ELSE 'complete' END AS state FROM edges GROUP BY target_h3""",
