@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import scalars as S
+from sightline.operators.summaries import exact_quantiles
 
 PAIR = ["source_h3", "target_h3"]
 
@@ -110,7 +111,8 @@ def census_gate(sampled: DataFrame, census: DataFrame, keys: list[str], value: s
     """
     both = sampled.select(*keys, F.col(value).alias("s")).join(census.select(*keys, F.col(value).alias("c")), keys)
     gap = F.when(F.col("s").isNull() != F.col("c").isNull(), F.lit(1.0)).otherwise(F.coalesce(F.abs(F.col("s") - F.col("c")), F.lit(0.0)))
-    errors = both.agg(F.max(gap).alias("max_error"), F.percentile(gap, F.lit(0.95)).alias("p95_error"))
+    both = both.withColumn("gap", gap)
+    errors = exact_quantiles(both, "gap", [0.95, 1.0]).select(F.col("quantiles")[1].alias("max_error"), F.col("quantiles")[0].alias("p95_error"))
     joined = both.join(F.broadcast(errors))  # one row
     fits = F.col("max_error") <= tolerance
     return joined.select(*keys, F.when(fits, F.col("s")).otherwise(F.col("c")).alias(value), F.when(fits, "sampled").otherwise("census").alias("used"), "max_error", "p95_error")

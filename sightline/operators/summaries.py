@@ -141,19 +141,47 @@ def distance_bins(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.groupBy(F.floor("distance_km").cast("long").alias("km")).agg(F.count("*").alias("pairs"), F.avg(value).alias("mean_value"))
 
 
+def exact_quantiles(values: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
+    """One row, ``quantiles``: exact quantiles of the values that are not null, interpolated between neighbours.
+
+    Equal values are counted first and dealt by ranges; the place of a value follows from running
+    counts inside its range and the totals of the ranges before, so no task holds all values.
+    An empty column gives null.
+    """
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    placed = counted.repartitionByRange(n, "v").withColumn("range", F.spark_partition_id())
+    inside = placed.withColumn("own", F.sum("n").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    ranges = inside.groupBy("range").agg(F.sum("n").alias("n"))  # a row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("range", before.alias("earlier"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    ranked = inside.join(starts, "range").withColumn("first", F.col("own") + F.col("earlier"))
+    # of every quantile the values at the places below and above it: two rows each at most
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    holds = lambda k: (F.col("first") <= k) & (k < F.col("first") + F.col("n"))
+    sums = []
+    for p in probabilities:
+        low, high = F.max(F.when(holds(F.floor(place(p))), F.col("v"))), F.max(F.when(holds(F.ceil(place(p))), F.col("v")))
+        share = F.max(place(p) - F.floor(place(p)))
+        sums.append(low + share * (high - low))
+    return ranked.agg(F.array(*sums).alias("quantiles")).withColumn("quantiles", F.when(F.col("quantiles")[0].isNotNull(), F.col("quantiles")))
+
+
 def factor_quantiles(pairs: DataFrame, value: str) -> DataFrame:
     """One row: mean, exact median and 95th percentile, share of zeros."""
     v = F.col(value)
-    return pairs.agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), S.ratio(F.count_if(v == 0), F.count(v)).alias("zero_fraction"))
+    rest = pairs.agg(F.avg(v).alias("mean"), S.ratio(F.count_if(v == 0), F.count(v)).alias("zero_fraction"))
+    found = exact_quantiles(pairs, value, [0.5, 0.95]).select(F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p95"))
+    return rest.join(F.broadcast(found)).select("mean", "p50", "p95", "zero_fraction")  # one row each
 
 
 def quantile_classes(values: DataFrame, value: str, classes: int = 10) -> DataFrame:
     """``class`` 1..n of positive values by exact quantiles; 0 for none, negative or not finite."""
     v = F.col(value)
     positive = v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))
-    breaks = values.where(positive).agg(F.percentile(v, F.array(*[F.lit(k / classes) for k in range(1, classes)])).alias("breaks"))
-    found = F.size(F.filter("breaks", lambda b: b <= v)) + 1
-    return values.join(F.broadcast(breaks)).withColumn("class", F.when(positive, found).otherwise(F.lit(0))).drop("breaks")
+    breaks = exact_quantiles(values.where(positive), value, [k / classes for k in range(1, classes)])
+    found = F.size(F.filter("quantiles", lambda b: b <= v)) + 1
+    return values.join(F.broadcast(breaks)).withColumn("class", F.when(positive, found).otherwise(F.lit(0))).drop("quantiles")  # one row
 
 
 def report_summary(pairs: DataFrame) -> DataFrame:
@@ -229,8 +257,9 @@ def merge_coverage(modelled: DataFrame, uncovered: DataFrame) -> DataFrame:
 def display_maximum(values: DataFrame, value: str, quantile: float = 0.98) -> DataFrame:
     """One row: quantile of the positive values, the maximum if there is none, at least something above 0."""
     v = F.col(value)
-    q = F.percentile(F.when(v > 0, v), F.lit(quantile))
-    return values.agg(F.coalesce(F.when(q > 0, q), F.when(F.max(v) > 0, F.max(v)), F.lit(1.0)).alias("display_max"))
+    found = exact_quantiles(values.where(v > 0), value, [quantile]).select(F.col("quantiles")[0].alias("q"))
+    most = values.agg(F.max(v).alias("most")).join(F.broadcast(found))  # one row each
+    return most.select(F.coalesce(F.when(F.col("q") > 0, F.col("q")), F.when(F.col("most") > 0, F.col("most")), F.lit(1.0)).alias("display_max"))
 
 
 def sampling_summary(samples: DataFrame, key: str, requested: int) -> DataFrame:
