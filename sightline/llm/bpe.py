@@ -19,7 +19,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts above this length go through the library, whose merges are linear in a long piece.
 FAST_CHARS = 400_000
 
-_LOADED: dict[str, "Bpe"] = {}
+_LOADED: dict[str, "Bpe | Pieces"] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,17 +46,20 @@ class Bpe:
         added = config.get("added_tokens") or []
         self.specials = {t["content"]: t["id"] for t in added}
         self.plain_specials = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
-        self._fast = self._build(config)
+        #: Whether :data:`PATTERN` splits texts into pieces that are tokenized one by one.
+        self.splits = self._is_usual(config)
+        self._fast = self._build(config) if self.splits else None
 
-    def _build(self, config: dict):
+    def _is_usual(self, config: dict) -> bool:
         model, pre = config["model"], config.get("pre_tokenizer") or {}
-        usual = (
+        return bool(
             model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
             and not pre.get("add_prefix_space") and not config.get("normalizer") and not model.get("ignore_merges")
             and not model.get("dropout") and self.plain_specials
         )
-        if not usual:
-            return None
+
+    def _build(self, config: dict):
+        model = config["model"]
         vocab = model["vocab"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         ids = np.array([vocab[a + b] for a, b in pairs])
@@ -83,8 +86,29 @@ class Bpe:
         return [len(e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def load(path: str) -> Bpe:
+class Pieces:
+    """Tokenizer of a sentencepiece model; use :func:`load`."""
+
+    specials: dict[str, int] = {}
+    splits = False
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.path = path
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of ``text`` as uint32."""
+        return np.array(self.library.encode(text) if text else [], dtype=np.uint32)
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        """Ids per piece, by the library."""
+        return [len(ids) for ids in self.library.encode(pieces)] if pieces else []
+
+
+def load(path: str) -> "Bpe | Pieces":
     """The tokenizer of ``path``; each process reads a file once."""
     if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
+        _LOADED[path] = Pieces(path) if path.endswith(".model") else Bpe(path)
     return _LOADED[path]

@@ -31,8 +31,11 @@ def _splitter(path: str):
 
     import regex
 
+    tokenizer = load(path)
+    if not tokenizer.splits:
+        return lambda text: ([text], 0)
     find = regex.compile(PATTERN).findall
-    specials = list(load(path).specials)
+    specials = list(tokenizer.specials)
     if not specials:
         return lambda text: (find(text), 0)
     either = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)))

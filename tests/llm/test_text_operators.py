@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -495,6 +496,32 @@ def test_token_counts(spark, edge, empty, small, library, most):
     assert token_counts(empty, tokenizer_path()).count() == 0
 
 
+def test_token_counts_of_other_files(spark, tmp_path):
+    """A file that lower-cases texts, and a sentencepiece model: counts as the libraries give them."""
+    import json
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from sightline.llm.token_counts import token_counts
+
+    config = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    config["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(config), encoding="utf-8")
+    texts = ["HELLO World's  End", "", None, "<|endoftext|> ÜBER", "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lower_case = Tokenizer.from_file(str(other))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, str(other)).collect()}
+    assert got == {i: len(ids_of(lower_case, t)) for i, t in enumerate(texts)}
+    folder = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".model"))[:1]:
+        model = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{name}")
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, f"{folder}/{name}").collect()}
+        assert got == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+
+
 def test_packing(spark, edge, empty, library):
     from sightline.llm.packing import pack, sequences
 
