@@ -32,6 +32,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Most rows of a table of keys (16 bytes each) that is broadcast.
 MAX_BROADCAST_KEYS = 400_000
+#: Most rows of a table of buckets that is broadcast: several of them live at a time.
+MAX_BROADCAST_BUCKETS = 50_000
 #: Shingles on each side of a block of :func:`_across`, about.
 BLOCK_SHINGLES = 300_000
 _SEED = np.random.default_rng(20)
@@ -159,9 +161,9 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 
 def _small(table: DataFrame, name: str, most: int) -> DataFrame:
-    """``table``, written; marked for broadcast if it has at most ``most`` rows, so that the other side stays where it is."""
+    """``table``, written; marked for broadcast if it is small, so that the other side stays where it is."""
     table = materialize(table, name)
-    return F.broadcast(table) if table.count() <= most else table
+    return F.broadcast(table) if table.count() <= min(most, MAX_BROADCAST_BUCKETS) else table
 
 
 def _restrict(table: DataFrame, keys: DataFrame, on: str, most: int) -> DataFrame:
@@ -204,7 +206,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, size: int, percent: int, most: i
 
 def _mixed(members: DataFrame, components: DataFrame, most: int) -> DataFrame:
     """``band, node, component, major``: members of the buckets that hold several components, and each one's largest."""
-    named = members.join(_small(components, "components", most), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    named = members.join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     counted = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     major = counted.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", -F.col("component"))).alias("m")).where("parts > 1")
@@ -288,7 +290,7 @@ def _group(docs: DataFrame, size: int, percent: int, most: int) -> tuple[DataFra
     standing = signed.select(F.col("row").alias("node"), "regs").join(classes.select("node"), "node", "left_semi")
     bands = materialize(_bands(standing), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
-    member = materialize(bands.join(_small(buckets, "heads", most), "band"), "buckets")
+    member = materialize(bands.join(buckets, "band"), "buckets")
     pairs = member.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
     links = materialize(_confirm(materialize(pairs, "pairs"), sets, size, percent, most), "links")
     first = materialize(connected_components(links), "components")
