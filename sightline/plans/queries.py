@@ -793,10 +793,14 @@ def ray_scores(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the session."""
+    """A fresh path in the shared folder of the session; only a session on one machine has a default."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
