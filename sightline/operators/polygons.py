@@ -43,12 +43,18 @@ def _half_plane(ring: Column, a: Column, b: Column, c: Column) -> Column:
     return F.flatten(F.transform(_edges(ring), kept))
 
 
-def clip_ring(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The part of a ring inside a box."""
+def clip(rings: DataFrame, *, x: tuple[Column, Column] | None = None, y: tuple[Column, Column] | None = None) -> DataFrame:
+    """``rings`` with ``ring`` cut to a range of x, of y, or to a box.
+
+    One step for each side: a ring is named several times in a step, and steps inside one another
+    would multiply the expression.
+    """
     one, zero = F.lit(1.0), F.lit(0.0)
-    for a, b, c in ((-one, zero, -x0), (one, zero, x1), (zero, -one, -y0), (zero, one, y1)):
-        ring = _half_plane(ring, a, b, c)
-    return ring
+    for limits, a, b in ((x, one, zero), (y, zero, one)):
+        if limits is not None:
+            for sign, limit in ((-one, limits[0]), (one, limits[1])):
+                rings = rings.withColumn("ring", _half_plane(F.col("ring"), sign * a, sign * b, sign * limit))
+    return rings
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -77,15 +83,12 @@ def overlay(polygons: DataFrame, edge: float) -> DataFrame:
     step = F.lit(float(edge))
     span = lambda low, high: F.sequence(F.floor(low / step), F.greatest(F.floor(low / step), F.ceil(high / step) - 1))
     x0, _, x1, _ = bounds(F.col("ring"))
-    far = F.lit(1e300)
     strips = polygons.select("polygon", "ring", F.explode(span(x0, x1)).alias("col"))
-    left = F.col("col") * step
-    strips = strips.select("polygon", "col", clip_ring(F.col("ring"), left, -far, left + step, far).alias("ring")).where(F.size("ring") > 2)
+    strips = clip(strips, x=(F.col("col") * step, (F.col("col") + 1) * step)).where(F.size("ring") > 2)
     _, y0, _, y1 = bounds(F.col("ring"))
     cells = strips.select("polygon", "ring", "col", F.explode(span(y0, y1)).alias("row"))
-    low = F.col("row") * step
-    part = clip_ring(F.col("ring"), -far, low, far, low + step)
-    found = cells.select("polygon", "row", "col", F.when(F.size(part) > 2, ring_area(part)).otherwise(F.lit(0.0)).alias("area"))
+    cells = clip(cells, y=(F.col("row") * step, (F.col("row") + 1) * step)).where(F.size("ring") > 2)
+    found = cells.select("polygon", "row", "col", ring_area(F.col("ring")).alias("area"))
     return found.groupBy("polygon", "row", "col").agg(F.sum("area").alias("area")).where(F.abs("area") > 0)
 
 
