@@ -197,14 +197,19 @@ def segment_buckets(segments: DataFrame, size: float) -> DataFrame:
 
 
 def blocked_lines(lines: DataFrame, barriers: DataFrame, size: float) -> DataFrame:
-    """Ids of ``lines`` (``line, x0..y1``) that cross or touch a barrier segment, by a bucketed segment join."""
+    """Ids of ``lines`` (``line, x0..y1``) that cross or touch a barrier segment, by a bucketed segment join.
+
+    A line is tried in each of its buckets up to the first barrier that it meets there (a semi-join),
+    so crowded buckets make no pairs.
+    """
     a = segment_buckets(lines, size)
     b = segment_buckets(barriers, size).withColumnsRenamed({c: f"b_{c}" for c in ("x0", "y0", "x1", "y1")})
-    met = a.join(b, ["bx", "by"])
+    b = b.withColumnsRenamed({"bx": "b_bx", "by": "b_by"})
     side = lambda px, py, qx, qy, rx, ry: F.signum((F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px)))
     one = side("x0", "y0", "x1", "y1", "b_x0", "b_y0") * side("x0", "y0", "x1", "y1", "b_x1", "b_y1")
     two = side("b_x0", "b_y0", "b_x1", "b_y1", "x0", "y0") * side("b_x0", "b_y0", "b_x1", "b_y1", "x1", "y1")
     apart = F.lit(False)  # collinear segments meet only where their boxes do
     for u, v in (("x0", "x1"), ("y0", "y1")):
         apart = apart | (F.greatest(u, v) < F.least(f"b_{u}", f"b_{v}")) | (F.least(u, v) > F.greatest(f"b_{u}", f"b_{v}"))
-    return met.where((one <= 0) & (two <= 0) & ~apart).select("line").distinct()
+    bucket = (F.col("bx") == F.col("b_bx")) & (F.col("by") == F.col("b_by"))
+    return a.join(b, bucket & (one <= 0) & (two <= 0) & ~apart, "left_semi").select("line").distinct()
