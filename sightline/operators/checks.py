@@ -75,22 +75,37 @@ def assert_pair_kernel(df: DataFrame, keys: list[str], weights: list[str]) -> No
     assert_unique(df, keys, "pairs")
 
 
+def weighted_above_joint(joint: str, weighted: str, tolerance: float = 1e-6) -> Column:
+    """Whether the distance-weighted fraction exceeds the joint fraction."""
+    return F.col(weighted) > F.col(joint) + F.lit(tolerance)
+
+
 def find_weighted_above_joint(df: DataFrame, joint: str, weighted: str, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose distance-weighted fraction exceeds the joint fraction."""
-    return df.where(F.col(weighted) > F.col(joint) + F.lit(tolerance))
+    return df.where(weighted_above_joint(joint, weighted, tolerance))
+
+
+def wrong_product(tolerance: float = 1e-7) -> Column:
+    """Whether the static weight is not terrain times vegetation."""
+    gap = F.abs(F.col("weight_static_viewability") - F.col("weight_terrain") * F.col("weight_vegetation"))
+    return gap.isNull() | (gap > tolerance)
 
 
 def find_wrong_products(df: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Rows whose static weight is not terrain times vegetation."""
-    gap = F.abs(F.col("weight_static_viewability") - F.col("weight_terrain") * F.col("weight_vegetation"))
-    return df.where(gap.isNull() | (gap > tolerance))
+    return df.where(wrong_product(tolerance))
 
 
-def find_wrong_distances(df: DataFrame, cutoff_km: float, slack_km: float = 1e-4) -> DataFrame:
-    """Distances that are null, negative, too far, or whose metres and kilometres disagree."""
+def wrong_distance(cutoff_km: float, slack_km: float = 1e-4) -> Column:
+    """Whether the distance is null, negative, too far, or metres and kilometres disagree."""
     m, km = F.col("distance_m"), F.col("distance_km")
     apart = F.abs(m - km * 1000) > F.lit(1e-6) + F.lit(1e-12) * F.abs(km * 1000)
-    return df.where(m.isNull() | km.isNull() | (km < 0) | (km > cutoff_km + slack_km) | apart)
+    return m.isNull() | km.isNull() | (km < 0) | (km > cutoff_km + slack_km) | apart
+
+
+def find_wrong_distances(df: DataFrame, cutoff_km: float, slack_km: float = 1e-4) -> DataFrame:
+    """Distances that are null, negative, too far, or whose metres and kilometres disagree."""
+    return df.where(wrong_distance(cutoff_km, slack_km))
 
 
 def find_wrong_bounds(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
