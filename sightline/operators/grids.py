@@ -200,7 +200,7 @@ def blocked_lines(lines: DataFrame, barriers: DataFrame, size: float) -> DataFra
     """Ids of ``lines`` (``line, x0..y1``) that cross or touch a barrier segment, by a bucketed segment join.
 
     A line is tried in each of its buckets up to the first barrier that it meets there (a semi-join),
-    so crowded buckets make no pairs.
+    so crowded buckets make no pairs. Barriers are never broadcast: their buckets outgrow the estimate of their table.
     """
     a = segment_buckets(lines, size)
     b = segment_buckets(barriers, size).withColumnsRenamed({c: f"b_{c}" for c in ("x0", "y0", "x1", "y1")})
@@ -212,4 +212,4 @@ def blocked_lines(lines: DataFrame, barriers: DataFrame, size: float) -> DataFra
     for u, v in (("x0", "x1"), ("y0", "y1")):
         apart = apart | (F.greatest(u, v) < F.least(f"b_{u}", f"b_{v}")) | (F.least(u, v) > F.greatest(f"b_{u}", f"b_{v}"))
     bucket = (F.col("bx") == F.col("b_bx")) & (F.col("by") == F.col("b_by"))
-    return a.join(b, bucket & (one <= 0) & (two <= 0) & ~apart, "left_semi").select("line").distinct()
+    return a.join(b.hint("merge"), bucket & (one <= 0) & (two <= 0) & ~apart, "left_semi").select("line").distinct()
